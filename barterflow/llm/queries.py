@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barterflow.llm import bpe, queries_sql, stripes
+from barterflow.llm import bpe, canonlist, lookalike, queries_sql, stripes
 from barterflow.plans.posts import card_names, kept_posts, mentions, table
 
 #: The 5 % point of the chi-squared distribution with one degree of freedom.
@@ -30,10 +30,35 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_pairs(spark, sf_dir).where(case & (F.col("llr") >= SIGNIFICANT)).select("name_a", "name_b")
 
 
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, id, body of every entry of every page."""
+    pages = table(spark, sf_dir, "timelines").select("page_id", F.explode("timeline.entry").alias("e"))
+    return pages.select("page_id", F.col("e.id").alias("id"), F.col("e.displayTextBody").alias("body"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.same_look_pairs(entries(spark, sf_dir), "id", "body")
+
+
+def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry with its body in the consistent form."""
+    return lookalike.with_consistent(entries(spark, sf_dir), "body", "form").drop("body")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return canonlist.named_otherwise(entries(spark, sf_dir), table(spark, sf_dir, "cards"))
+
+
+def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listed value (by its key) with the card it means; null: none."""
+    given = entries(spark, sf_dir).where("id IS NOT NULL AND body IS NOT NULL").select("id", "body").distinct()
+    return canonlist.mapped_values(given, table(spark, sf_dir, "cards"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", bpe.vocabulary_path("byte_bpe_50k"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p6_ids": p6_ids}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_texts": p2_texts, "p5_found": p5_found, "p5_values": p5_values, "p6_ids": p6_ids}
 
 ORACLES = queries_sql.ORACLES
