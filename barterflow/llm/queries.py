@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barterflow.llm import bpe, canonlist, lookalike, queries_sql, stripes
+from barterflow.llm import bpe, canonlist, lookalike, packing, queries_sql, reading, stripes
 from barterflow.plans.posts import card_names, kept_posts, mentions, table
+from barterflow.shared import materialised
 
 #: The 5 % point of the chi-squared distribution with one degree of freedom.
 SIGNIFICANT = 3.841
@@ -59,6 +60,40 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", bpe.vocabulary_path("byte_bpe_50k"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_texts": p2_texts, "p5_found": p5_found, "p5_values": p5_values, "p6_ids": p6_ids}
+def p7_fillings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its container, for each kind of container."""
+    docs, kinds = table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers")
+    out = None
+    for (name,) in kinds.where("tokenizer IS NOT NULL").select("tokenizer").distinct().orderBy("tokenizer").collect():
+        sizes = materialised(bpe.token_counts(docs, "doc_id", "text", bpe.vocabulary_path(name)), "sizes")
+        filled = packing.packed(sizes, kinds.where(F.col("tokenizer") == name))
+        out = filled if out is None else out.unionByName(filled)
+    return out
+
+
+def p7_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used, the fewest possible, and the share of room filled, by kind."""
+    return packing.waste(p7_fillings(spark, sf_dir), table(spark, sf_dir, "containers"))
+
+
+def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, level, evidence of every document; grades by several raters are averaged."""
+    grades = table(spark, sf_dir, "reading_grades").groupBy("doc_id").agg((F.avg("grade") - 3).alias("grade"))
+    return reading.reading_levels(table(spark, sf_dir, "documents"), grades, "doc_id", "text", "grade")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "reading_pairs").where("pair_id IS NOT NULL")
+    both = pairs.select("pair_id", F.explode(F.array("doc_a", "doc_b")).alias("doc_id"))
+    levels = p8_levels(spark, sf_dir).join(both, "doc_id")
+    return levels.groupBy("pair_id").agg(F.max_by("doc_id", F.struct("level", "doc_id")).alias("doc_id"))
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by band of the reading level."""
+    return reading.profile(p8_levels(spark, sf_dir))
+
+
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_texts": p2_texts, "p5_found": p5_found, "p5_values": p5_values, "p6_ids": p6_ids, "p7_fillings": p7_fillings, "p7_waste": p7_waste, "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile}
 
 ORACLES = queries_sql.ORACLES
