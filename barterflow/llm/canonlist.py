@@ -56,8 +56,8 @@ def edits_of(length: str) -> str:
 
 
 @lru_cache(1)
-def _folds() -> tuple[str, str, list[tuple[str, str]]]:
-    """Characters that fold to one other, what they fold to, and the marks to join to their kana."""
+def _folds() -> tuple[str, str, dict[str, tuple[str, str]]]:
+    """Characters that fold to one other, what they fold to, and by voicing mark the kana it joins and what they become."""
     one: dict[str, str] = {}
     for point in range(0xA0, 0x10000):
         c = chr(point)
@@ -70,24 +70,38 @@ def _folds() -> tuple[str, str, list[tuple[str, str]]]:
     for c, shape in FORMS.items():
         if LATIN in shape and c != shape[LATIN]:
             one[c] = shape[LATIN]
-    joined = []
-    for point in range(0x3041, 0x3100):
-        d = unicodedata.normalize("NFD", chr(point))
-        if len(d) == 2:
-            joined.append((d, chr(point)))
-    return "".join(one), "".join(one.values()), joined
+    marked: dict[str, tuple[str, str]] = {}
+    for mark in "゙゚":
+        pairs = [(chr(c), unicodedata.normalize("NFC", chr(c) + mark)) for c in range(0x3041, 0x3100)]
+        pairs = [(a, b) for a, b in pairs if len(b) == 1]
+        marked[mark] = "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+    return "".join(one), "".join(one.values()), marked
 
 
-def plain_sql(text: str) -> str:
-    """``text`` without highlight marks and invisible characters, in plain width, one kind of blank, lower case."""
-    a, b, joined = _folds()
+def joined_sql(text: str, mark: str, bases: str, wholes: str) -> str:
+    """``text`` with each kana and the voicing mark after it as one character."""
+    cut = f"split(regexp_replace({text}, '(.){mark}', '\uE000$1'), '\uE000')"
+    whole = f"concat(translate(substring(x, 1, 1), '{bases}', '{wholes}'), substring(x, 2))"
+    return f"CASE WHEN contains({text}, '{mark}') THEN array_join(transform({cut}, (x, i) -> if(i = 0, x, {whole})), '') ELSE {text} END"
+
+
+def replaced_sql(text: str, pairs: list[tuple[str, str]]) -> str:
+    """``text`` with each pair replaced in turn."""
+    array = ", ".join(f"named_struct('a', {quoted(a)}, 'b', {quoted(b)})" for a, b in pairs)
+    return f"aggregate(array({array}), {text}, (s, p) -> replace(s, p.a, p.b))"
+
+
+def with_plain(spark: SparkSession, rows: DataFrame, text: str) -> DataFrame:
+    """Adds column plain: ``text`` without highlight marks and invisible characters, in plain width, one kind of blank, lower case. A step a projection, so that no expression stands twice."""
+    a, b, marked = _folds()
     s = f"regexp_replace({text}, '\\\\t(?:START|END)\\\\t', '')"
-    s = f"regexp_replace({s}, '[\\\\p{{Cf}}]+', '')"
-    s = f"translate({s}, {quoted(a)}, {quoted(b)})"
-    for pair, whole in joined:
-        s = f"replace({s}, '{pair}', '{whole}')"
+    s = f"translate(regexp_replace({s}, '[\\\\p{{Cf}}]+', ''), {quoted(a)}, {quoted(b)})"
+    out = rows.selectExpr("*", f"{s} AS plain")
     blank = BLANK_CLASS.replace("\\s", "\\t\\r\\f").replace("\\", "\\\\")
-    return f"lower(regexp_replace({s}, '[{blank}]', ' '))"
+    (m1, (b1, w1)), (m2, (b2, w2)) = marked.items()
+    keep = rows.columns
+    out = out.selectExpr(*keep, f"{joined_sql('plain', m1, b1, w1)} AS plain").selectExpr(*keep, f"{joined_sql('plain', m2, b2, w2)} AS plain")
+    return out.selectExpr(*keep, f"lower(regexp_replace(plain, '[{blank}]', ' ')) AS plain")
 
 
 def key_sql(text: str) -> str:
@@ -105,32 +119,28 @@ def reference(cards: DataFrame) -> DataFrame:
 
     An alias whose canonical name isn't in the list is left out, as are null and blank names.
     """
-    kana = key_sql("spelling")
-    for word in sorted(READINGS, key=lambda w: -len(w.partition("=")[0])):
-        a, _, b = word.partition("=")
-        kana = f"replace({kana}, {key_sql(quoted(a))}, {key_sql(quoted(b))})"
-    roman = "kana"
-    for pair in [*YOON, *KANA]:
-        a, _, b = pair.partition("=")
-        roman = f"replace({roman}, '{a}', '{b}')"
-    roman = f"regexp_replace(regexp_replace({roman}, 'ッ([a-z])', '$1$1'), '([aiueo])ー', '$1$1')"
+    spark = cards.sparkSession
+    words = [tuple(w.split("=")) for w in sorted(READINGS, key=lambda w: -len(w.partition("=")[0]))]
+    sounds = [tuple(w.split("=")) for w in [*YOON, *KANA]]
+    given = query(
+        spark,
+        """
+        WITH names AS (SELECT DISTINCT name FROM {cards} LATERAL VIEW explode(cards) AS name WHERE trim(name) <> '')
+        SELECT name, name AS spelling FROM names
+        UNION SELECT a.canonical, a.alias FROM {cards} LATERAL VIEW explode(aliases) AS a WHERE trim(a.alias) <> '' AND a.canonical IN (SELECT name FROM names)
+        """,
+        cards=cards,
+    )
+    plain = with_plain(spark, given, "spelling")
     return query(
-        cards.sparkSession,
+        spark,
         f"""
-        WITH names AS (SELECT DISTINCT name FROM {{cards}} LATERAL VIEW explode(cards) AS name WHERE trim(name) <> ''),
-        spellings AS (
-          SELECT name, name AS spelling FROM names
-          UNION SELECT a.canonical, a.alias FROM {{cards}} LATERAL VIEW explode(aliases) AS a WHERE trim(a.alias) <> '' AND a.canonical IN (SELECT name FROM names)
-        ),
-        read AS (SELECT name, spelling, {kana} AS kana FROM (SELECT name, {plain_sql('spelling')} AS spelling FROM spellings)),
-        keys AS (
-          SELECT name, {key_sql('spelling')} AS key FROM read
-          UNION SELECT name, kana FROM read
-          UNION SELECT name, {roman} FROM read WHERE NOT {roman} RLIKE '[^a-z]'
-        )
+        WITH read AS (SELECT name, {key_sql('plain')} AS key, {key_sql(replaced_sql('plain', words))} AS kana FROM {{plain}}),
+        said AS (SELECT name, regexp_replace(regexp_replace({replaced_sql('kana', sounds)}, 'ッ([a-z])', '$1$1'), '([aiueo])ー', '$1$1') AS roman FROM read),
+        keys AS (SELECT name, key FROM read UNION SELECT name, kana FROM read UNION SELECT name, roman FROM said WHERE NOT roman RLIKE '[^a-z]')
         SELECT name, key, length(key) AS len, {edits_of('length(key)')} AS k, name RLIKE '[・/,、]' AS split FROM keys WHERE key <> ''
         """,
-        cards=cards,
+        plain=plain,
     )
 
 
@@ -155,13 +165,15 @@ def closest(values: DataFrame, refs: DataFrame) -> DataFrame:
     probes = query(
         spark,
         f"""
-        WITH lengths AS (SELECT key, len, {edits_of('len')} AS k FROM (SELECT key, explode(sequence(greatest(length(key) - {MOST_EDITS}, 2), length(key) + {MOST_EDITS})) AS len FROM {{values}})),
+        WITH known AS (SELECT collect_set(len) AS lens FROM {{refs}}),
+        lengths AS (SELECT key, len, {edits_of('len')} AS k FROM (SELECT key, explode(sequence(greatest(length(key) - {MOST_EDITS}, 2), length(key) + {MOST_EDITS})) AS len FROM {{values}}) WHERE array_contains((SELECT lens FROM known), len)),
         fits AS (SELECT key, len, k, i, (len * i) DIV (k + 1) + 1 AS at, (len * (i + 1)) DIV (k + 1) - (len * i) DIV (k + 1) AS size
           FROM lengths LATERAL VIEW explode(sequence(0, k)) AS i WHERE abs(length(key) - len) <= k AND len > k)
         SELECT DISTINCT key, len, i, substring(key, place, size) AS part
         FROM fits LATERAL VIEW explode(sequence(greatest(at - k, 1), at + k)) AS place WHERE place + size - 1 <= length(key)
         """,
         values=values,
+        refs=refs,
     )
     within = query(
         spark,
@@ -198,64 +210,68 @@ def closest(values: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def listed_values(entries: DataFrame) -> DataFrame:
-    """id, list, pos, span, key of each value an entry lists as wanted or offered; span 2: two neighbours read as one (a name may hold a separator).
-
-    ``entries``: id, body. Empty values are left out.
-    """
-    spark = entries.sparkSession
-    lists = query(
-        spark,
+    """id, list, pos, key of each value an entry lists as wanted or offered. ``entries``: id, plain. Empty values are left out."""
+    return query(
+        entries.sparkSession,
         f"""
-        SELECT id, list, transform(split(regexp_replace(regexp_replace(section, {quoted('^' + MARK)}, ''), {quoted(AFTER.lower())}, ''), {quoted(BETWEEN)}),
-          v -> {key_sql(f"regexp_replace(v, {quoted(QUANTITY)}, '')")}) AS keys
-        FROM (SELECT id, {plain_sql('body')} AS plain FROM {{entries}})
-        LATERAL VIEW posexplode(split(plain, {quoted('(?=' + MARK + ')')})) AS list, section
-        WHERE section RLIKE {quoted('^' + MARK)}
+        WITH lists AS (
+          SELECT id, list, split(regexp_replace(regexp_replace(section, {quoted('^' + MARK)}, ''), {quoted(AFTER.lower())}, ''), {quoted(BETWEEN)}) AS cells
+          FROM {{entries}} LATERAL VIEW posexplode(split(plain, {quoted('(?=' + MARK + ')')})) AS list, section
+          WHERE section RLIKE {quoted('^' + MARK)}
+        ), cells AS (SELECT id, list, pos, regexp_replace(cell, {quoted(QUANTITY)}, '') AS cell FROM lists LATERAL VIEW posexplode(cells) AS pos, cell),
+        keys AS (SELECT id, list, pos, {key_sql('cell')} AS key FROM cells WHERE cell <> '')
+        SELECT id, list, pos, key FROM keys WHERE key RLIKE '[^0-9:();.!?+]'
         """,
         entries=entries,
     )
-    return query(
-        spark,
-        """
-        SELECT id, list, pos, span, key FROM (
-          SELECT id, list, pos, 1 AS span, key FROM {lists} LATERAL VIEW posexplode(keys) AS pos, key
-          UNION ALL
-          SELECT id, list, pos, 2, concat(keys[pos], keys[pos + 1]) FROM {lists} LATERAL VIEW explode(sequence(0, greatest(size(keys) - 2, 0))) AS pos
-          WHERE size(keys) > 1 AND keys[pos] <> '' AND keys[pos + 1] <> ''
-        ) WHERE key <> '' AND key RLIKE '[^0-9:();.!?+]'
-        """,
-        lists=lists,
-    )
 
 
 def mapped_values(entries: DataFrame, cards: DataFrame) -> DataFrame:
-    """id, key, name of each listed value; name null where the value means no entry of the list."""
+    """id, key, name of each listed value; name null where the value means no entry of the list.
+
+    Two neighbours of which neither is an entry as it stands are also read as one value, for
+    names that hold a sign that stands between values.
+    """
     spark = entries.sparkSession
     refs = materialised(reference(cards), "reference")
     values = materialised(listed_values(entries), "values")
     found = materialised(closest(values.select("key").distinct(), refs), "closest")
+    doubles = query(
+        spark,
+        """
+        WITH open AS (SELECT v.id, v.list, v.pos, v.key, f.distance FROM {values} v LEFT JOIN {found} f ON v.key = f.key WHERE f.distance IS NULL OR f.distance > 0)
+        SELECT a.id, a.list, a.pos, concat(a.key, b.key) AS key, least(a.distance, b.distance) AS single
+        FROM open a JOIN open b ON a.id = b.id AND a.list = b.list AND a.pos + 1 = b.pos
+        """,
+        values=values,
+        found=found,
+    )
+    doubles = materialised(doubles, "doubles")
+    joined = closest(doubles.select("key").distinct(), refs.where("split"))
     return query(
         spark,
         """
-        WITH hits AS (SELECT v.id, v.list, v.pos, v.span, v.key, f.name, f.split, f.distance FROM {values} v JOIN {found} f ON v.key = f.key),
-        parts AS (SELECT id, list, pos, distance FROM hits WHERE span = 1 UNION ALL SELECT id, list, pos - 1, distance FROM hits WHERE span = 1),
-        closer AS (SELECT id, list, pos, min(distance) AS distance FROM parts GROUP BY id, list, pos),
-        doubles AS (
-          SELECT h.id, h.list, h.pos, h.key, h.name FROM hits h LEFT JOIN closer c ON h.id = c.id AND h.list = c.list AND h.pos = c.pos
-          WHERE h.span = 2 AND h.split AND (c.distance IS NULL OR (c.distance > 0 AND h.distance <= c.distance + 2))
-        ),
-        taken AS (SELECT id, list, pos FROM doubles UNION SELECT id, list, pos + 1 FROM doubles),
-        singles AS (SELECT v.id, v.key, v.list, v.pos FROM {values} v LEFT ANTI JOIN taken t ON v.id = t.id AND v.list = t.list AND v.pos = t.pos WHERE v.span = 1),
+        WITH pairs AS (SELECT d.id, d.list, d.pos, d.key, j.name FROM {doubles} d JOIN {joined} j ON d.key = j.key WHERE d.single IS NULL OR j.distance <= d.single + 2),
+        taken AS (SELECT id, list, pos FROM pairs UNION SELECT id, list, pos + 1 FROM pairs),
+        singles AS (SELECT v.id, v.key FROM {values} v LEFT ANTI JOIN taken t ON v.id = t.id AND v.list = t.list AND v.pos = t.pos),
         unmatched AS (SELECT s.id, s.key FROM singles s LEFT ANTI JOIN {found} f ON s.key = f.key)
-        SELECT id, key, name FROM doubles
+        SELECT id, key, name FROM pairs
         UNION SELECT s.id, s.key, f.name FROM singles s JOIN {found} f ON s.key = f.key
         UNION SELECT id, key, CAST(NULL AS STRING) FROM unmatched
         """,
+        doubles=doubles,
+        joined=joined,
         values=values,
         found=found,
     )
 
 
+def plain_bodies(entries: DataFrame) -> DataFrame:
+    """id, body, plain of each distinct (id, body), neither null; written once."""
+    given = entries.where("id IS NOT NULL AND body IS NOT NULL").select("id", "body").distinct()
+    return materialised(with_plain(entries.sparkSession, given, "body"), "bodies")
+
+
 def named_otherwise(entries: DataFrame, cards: DataFrame) -> DataFrame:
     """id, name of the entries of the list that a body names, but neither by the name nor by an alias of it as stored; name '?' where a listed value means none.
 
@@ -263,7 +279,7 @@ def named_otherwise(entries: DataFrame, cards: DataFrame) -> DataFrame:
     Null ids and bodies are left out.
     """
     spark = entries.sparkSession
-    given = materialised(entries.where("id IS NOT NULL AND body IS NOT NULL").select("id", "body").distinct(), "bodies")
+    given = plain_bodies(entries)
     mapped = materialised(mapped_values(given, cards), "mapped")
     written = query(
         spark,
@@ -275,18 +291,20 @@ def named_otherwise(entries: DataFrame, cards: DataFrame) -> DataFrame:
         """,
         cards=cards,
     )
-    keys = query(spark, f"SELECT array_sort(collect_set(struct(-length(key) AS n, key, name))) AS keys FROM (SELECT name, {key_sql(plain_sql('form'))} AS key FROM {{written}} LATERAL VIEW explode(forms) AS form)", written=written).first().keys
+    forms = with_plain(spark, query(spark, "SELECT name, form FROM {written} LATERAL VIEW explode(forms) AS form", written=written), "form")
+    # the list is small: it is the reference every value is compared with
+    keys = forms.selectExpr("name", f"{key_sql('plain')} AS key").distinct().collect()
     # the longest names first: one that lies inside another doesn't take its place
-    pattern = "(?<![ァ-ヺー])(" + "|".join(x.key for x in keys or []) + ")(?![ァ-ヺー])"
+    pattern = "(?<![ァ-ヺー])(" + "|".join(sorted({x.key for x in keys}, key=lambda k: (-len(k), k))) + ")(?![ァ-ヺー])"
     free = query(
         spark,
         f"""
-        SELECT DISTINCT id, key FROM (SELECT id, {plain_sql('body')} AS plain FROM {{given}}) LATERAL VIEW explode(regexp_extract_all({key_sql('plain')}, {quoted(pattern)}, 1)) AS key
-        WHERE NOT plain RLIKE {quoted(MARK)}
+        SELECT DISTINCT id, key FROM (SELECT id, {key_sql('plain')} AS folded FROM {{given}} WHERE NOT plain RLIKE {quoted(MARK)})
+        LATERAL VIEW explode(regexp_extract_all(folded, {quoted(pattern)}, 1)) AS key
         """,
         given=given,
     )
-    by_key = spark.createDataFrame([(x.key, x.name) for x in keys or []], "key string, name string")
+    by_key = spark.createDataFrame([(x.key, x.name) for x in keys], "key string, name string")
     return query(
         spark,
         """

@@ -52,8 +52,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listed value (by its key) with the card it means; null: none."""
-    given = entries(spark, sf_dir).where("id IS NOT NULL AND body IS NOT NULL").select("id", "body").distinct()
-    return canonlist.mapped_values(given, table(spark, sf_dir, "cards"))
+    return canonlist.mapped_values(canonlist.plain_bodies(entries(spark, sf_dir)), table(spark, sf_dir, "cards"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
