@@ -175,7 +175,7 @@ def closest(values: DataFrame, refs: DataFrame) -> DataFrame:
         values=values,
         refs=refs,
     )
-    within = query(
+    near = query(
         spark,
         """
         WITH met AS (
@@ -192,6 +192,7 @@ def closest(values: DataFrame, refs: DataFrame) -> DataFrame:
         probes=probes,
         cut=cut,
     )
+    within = materialised(near, "within")
     return query(
         spark,
         """
@@ -247,7 +248,7 @@ def mapped_values(entries: DataFrame, cards: DataFrame) -> DataFrame:
         found=found,
     )
     doubles = materialised(doubles, "doubles")
-    joined = closest(doubles.select("key").distinct(), refs.where("split"))
+    joined = materialised(closest(doubles.select("key").distinct(), refs.where("split")), "joined")
     return query(
         spark,
         """
