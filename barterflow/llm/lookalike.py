@@ -132,7 +132,8 @@ def consistent(text: str | None) -> str | None:
 
 
 def with_consistent(rows: DataFrame, text: str, to: str) -> DataFrame:
-    """Adds column ``to``: ``text`` in its consistent form. Arrow batches, no shuffle."""
+    """Adds column ``to`` (in place of one of that name): ``text`` in its consistent form. Arrow batches, no shuffle."""
+    rows = rows.drop(to) if to != text else rows.withColumnRenamed(text, text := f"{text}__given")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{to}` string"
     at = rows.columns.index(text)
 
@@ -141,7 +142,7 @@ def with_consistent(rows: DataFrame, text: str, to: str) -> DataFrame:
             column = b.column(at).to_pylist()
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(consistent, column), pa.string())], names=[*b.schema.names, to])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).drop(f"{to}__given")
 
 
 #: Rows of a class of equal look that one task pairs up at a time.

@@ -22,6 +22,8 @@ from barterflow.shared import materialised
 
 #: Pieces of a block, fillings kept of a container, sizes tried while looking for them, and containers opened before a block keeps the best packing it has.
 BLOCK, FILLINGS, TRIES, NODES = 4096, 4, 96, 6000
+#: Kinds of containers; more are refused.
+MOST_KINDS = 1000
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -213,8 +215,11 @@ def packed(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     into full containers and a rest. A document of 0 tokens takes no room: bin_id and room null.
     ``room`` is what is left in the piece's container. Documents of unknown size (null) count as 0.
     """
-    kinds = containers.where("capacity > 0 AND container_id IS NOT NULL").select(F.col("container_id").cast("int").alias("container_id"), F.col("capacity").cast("int").alias("capacity")).distinct()
-    each = sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("size")).join(F.broadcast(kinds.limit(1000)))
+    kinds = containers.where("capacity > 0 AND container_id IS NOT NULL").select(F.col("container_id").cast("int").alias("container_id"), F.col("capacity").cast("int").alias("capacity")).distinct().limit(MOST_KINDS + 1).collect()
+    if len(kinds) > MOST_KINDS:
+        raise ValueError(f"more than {MOST_KINDS} kinds of containers")
+    every = F.array(*[F.struct(F.lit(k.container_id).alias("container_id"), F.lit(k.capacity).alias("capacity")) for k in kinds]).cast("array<struct<container_id:int,capacity:int>>")
+    each = sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("size"), F.explode(every).alias("kind")).select("doc_id", "size", "kind.*")
     pieces = each.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("size") / F.col("capacity")).cast("int") - 1))))
     begin = F.col("piece").cast("bigint") * F.col("capacity")
     pieces = pieces.select("container_id", "capacity", "doc_id", "piece", begin.alias("begin_token"), F.least(F.col("capacity").cast("bigint"), F.col("size") - begin).alias("tokens"))
