@@ -60,6 +60,7 @@ def _forms() -> tuple[dict[str, dict[str, str]], dict[str, str]]:
 FORMS, SIGN_OF = _forms()
 
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+_CONTROL = regex.compile(r"[\t\r\v\f\x1c-\x1f]")
 _BLANK = regex.compile(r"[^\S\n\r]")
 _UNSEEN = regex.compile(r"(?<=[\p{So}\p{Sk}\ufe0f])\u200d(?=\p{So})(*SKIP)(*FAIL)|[\p{Cf}\u034f\u180b-\u180d]|(?<![\p{So}\p{Sm}\p{N}#*])[\ufe0e\ufe0f]")
 
@@ -120,7 +121,7 @@ def consistent(text: str | None) -> str | None:
     """``text`` in the one form that all texts share that look like it; null stays null, '' stays ''."""
     if text is None:
         return None
-    if text.isascii() and "\t" not in text:
+    if text.isascii() and not _CONTROL.search(text):
         return text
     text = _UNSEEN.sub("", text)
     text = "".join(map(_width, unicodedata.normalize("NFC", text)))
