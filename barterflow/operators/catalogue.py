@@ -59,3 +59,9 @@ def report(findings: DataFrame) -> str:
     rows = findings.groupBy("finding").agg(F.sort_array(F.collect_set("name")).alias("names")).collect()
     by = {r.finding: r.names for r in rows}
     return "\n".join(f"- {k}: {', '.join(by[k]) if by.get(k) else 'none'}" for k in ("unknown", "missing", "extra", "duplicate"))
+
+
+def carried_over(wanted: DataFrame, old: DataFrame) -> DataFrame:
+    """Wanted references (id, image and more) with the fingerprint (gray, color) an older set has for the same id and image; null where it must be made."""
+    known = old.where("gray IS NOT NULL AND color IS NOT NULL").select("id", "image", "gray", "color").dropDuplicates(["id", "image"])
+    return wanted.drop("gray", "color").join(known, ["id", "image"], "left")

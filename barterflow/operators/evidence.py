@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +90,21 @@ def to_recognise(urls: DataFrame, cache: DataFrame) -> DataFrame:
     return urls.select("url").where("url IS NOT NULL").distinct().join(cache.select("url"), "url", "left_anti")
 
 
+def recognised(urls: DataFrame, cache: DataFrame, recognise: Callable[[DataFrame], DataFrame], now: datetime, version: int, hours: int, most_new: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """All known recognitions of the urls, and the cache as it is then: what is fresh is reused, the rest recognised.
+
+    ``recognise`` maps urls to rows of the cache's columns but checked_at and cache_version. ``most_new`` is the run's
+    budget of images (None: no budget); urls beyond it are simply not known yet and come in the next run.
+    """
+    kept = fresh(cache, now, version, hours)
+    todo = to_recognise(urls, kept)
+    if most_new is not None:
+        todo = todo.orderBy("url").limit(most_new)
+    made = recognise(todo).withColumns({"checked_at": F.lit(now).cast("timestamp"), "cache_version": F.lit(version)})
+    after = kept.unionByName(made.select(*kept.columns))
+    return after.join(urls.select("url").distinct(), "url", "left_semi"), after
+
+
 def image_statistics(recognised: DataFrame) -> DataFrame:
     """One row of counts over recognised images: images, layout, explicit, with_demand, with_supply, passes."""
     passes = F.sum("passes") if "passes" in recognised.columns else F.lit(None).cast("bigint")

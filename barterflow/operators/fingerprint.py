@@ -56,6 +56,15 @@ def similarity(gray: np.ndarray, color: np.ndarray, ref_gray: np.ndarray, ref_co
     return np.clip(s, 0, 1)
 
 
+def decoded(prints: DataFrame) -> DataFrame:
+    """Fingerprints whose gray and color are base64 text, as bytes; text that is no base64 gives null."""
+    return prints.withColumns({c: F.try_to_binary(c, F.lit("base64")) for c in ("gray", "color")})
+
+
+def encoded(prints: DataFrame) -> DataFrame:
+    return prints.withColumns({c: F.base64(c) for c in ("gray", "color")})
+
+
 def unpacked(column: list[bytes | None], shape: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Byte strings as arrays, and which of them have the right length; the others are zeros."""
     size = int(np.prod(shape))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,15 +38,15 @@ def mentions(demand: str = "demand", supply: str = "supply") -> Column:
 
 
 def card_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """name, day, n, total, t7, a7, t30, a30 of every card and calendar day over the kept posts that have a created_at."""
+    """name, day, n, total, t7, a7, t30, a30 of every card and calendar day over the kept posts that have a created_at; no row without such a post."""
     posts = table(spark, sf_dir, "posts")
     kept = kept_posts(posts, [F.to_date("created_at").alias("day"), mentions().alias("names")]).where("day IS NOT NULL")
     daily = materialised(kept.select("day", F.explode_outer("names").alias("name")).groupBy("name", "day").agg(F.count("*").alias("total")), "daily")
     span = daily.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
     cards = card_names(spark, sf_dir)
-    if span.lo is None:
+    if span.lo is None:  # no day, no calendar
         cards = cards.where(F.lit(False))
-    dense = dense_daily(daily, cards, span.lo, span.hi)
+    dense = dense_daily(daily, cards, span.lo or date(1970, 1, 1), span.hi or date(1970, 1, 1))
     return trailing_totals(dense, (7, 30))
 
 
