@@ -11,6 +11,7 @@ and its romanisation.
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 import uuid
@@ -276,7 +277,7 @@ def plain_bodies(entries: DataFrame) -> DataFrame:
 def named_otherwise(entries: DataFrame, cards: DataFrame) -> DataFrame:
     """id, name of the entries of the list that a body names, but neither by the name nor by an alias of it as stored; name '?' where a listed value means none.
 
-    Bodies without lists name an entry where its key stands in theirs, between no katakana.
+    Bodies without lists name an entry where its name or alias stands in them, in whatever width and look-alike letters, between no katakana.
     Null ids and bodies are left out.
     """
     spark = entries.sparkSession
@@ -294,18 +295,18 @@ def named_otherwise(entries: DataFrame, cards: DataFrame) -> DataFrame:
     )
     forms = with_plain(spark, query(spark, "SELECT name, form FROM {written} LATERAL VIEW explode(forms) AS form", written=written), "form")
     # the list is small: it is the reference every value is compared with
-    keys = forms.selectExpr("name", f"{key_sql('plain')} AS key").distinct().collect()
-    # the longest names first: one that lies inside another doesn't take its place
-    pattern = "(?<![ァ-ヺー])(" + "|".join(sorted({x.key for x in keys}, key=lambda k: (-len(k), k))) + ")(?![ァ-ヺー])"
+    keys = forms.selectExpr("name", "plain", f"{key_sql('plain')} AS key").distinct().collect()
+    # the longest names first: one that lies inside another doesn't take its place; a character also in its look-alikes
+    spelt = "|".join("".join(f"[{''.join(FORMS[c].values())}]" if c in FORMS else re.escape(c) for c in p) for p in sorted({x.plain for x in keys}, key=lambda p: (-len(p), p)))
     free = query(
         spark,
         f"""
-        SELECT DISTINCT id, key FROM (SELECT id, {key_sql('plain')} AS folded FROM {{given}} WHERE NOT plain RLIKE {quoted(MARK)})
-        LATERAL VIEW explode(regexp_extract_all(folded, {quoted(pattern)}, 1)) AS key
+        SELECT DISTINCT id, {key_sql('spelling')} AS key FROM {{given}}
+        LATERAL VIEW explode(regexp_extract_all(plain, {quoted(f"(?<![ァ-ヺー])({spelt})(?![ァ-ヺー])")}, 1)) AS spelling WHERE NOT plain RLIKE {quoted(MARK)}
         """,
         given=given,
     )
-    by_key = spark.createDataFrame([(x.key, x.name) for x in keys], "key string, name string")
+    by_key = spark.createDataFrame(sorted({(x.key, x.name) for x in keys}), "key string, name string")
     return query(
         spark,
         """
