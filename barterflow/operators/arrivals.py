@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barterflow.functions.ids import number_key
-from barterflow.shared import fresh_path
+from barterflow.shared import delete_at_end, fresh_path
 
 #: Shards of the dictionary. A shard is numbered inside one task, so it must fit there: at 4,096 shards 100 billion identifiers are 25 million a shard.
 SHARDS = 256
@@ -118,7 +118,9 @@ def surplus_copies(rows: DataFrame, id_col: str, order: list[str], row_id: str,
     Rows whose identifier is null or blank are no copies. ``row_id`` must be unique; the
     anti-join is on it, so a hot identifier is no hot key there.
     """
-    state = state or SeenState(rows.sparkSession, fresh_path(rows.sparkSession, "seen"))
+    if state is None:
+        state = SeenState(rows.sparkSession, fresh_path(rows.sparkSession, "seen"))
+        delete_at_end(rows.sparkSession, state.path)
     kept = state.ingest(rows, id_col, order, row_id)
     candidates = rows.where(number_key(id_col).isNotNull()).select(row_id)
     return candidates.join(kept, row_id, "left_anti")

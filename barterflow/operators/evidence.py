@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,9 +80,9 @@ def with_images(parsed: DataFrame, images: DataFrame) -> DataFrame:
     return out.where("explicit AND (size(demand) > 0 OR size(supply) > 0)")
 
 
-def fresh(cache: DataFrame, now, version: int, hours: int) -> DataFrame:
+def fresh(cache: DataFrame, now: datetime, version: int, hours: int) -> DataFrame:
     """Cached recognitions of this version that are younger than ``hours``."""
-    return cache.where((F.col("cache_version") == version) & (F.col("checked_at") > F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {hours} HOURS")))
+    return cache.where((F.col("cache_version") == version) & (F.col("checked_at") > F.lit(now - timedelta(hours=hours)).cast("timestamp")))
 
 
 def to_recognise(urls: DataFrame, cache: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def sources(posts: DataFrame, now: datetime, hours: int, card: str | None = None
     name after both are made distinct, so an id repeated many times stays small.
     """
     none = F.array().cast("array<string>")
-    rows = posts.where((F.coalesce(F.col("id"), F.lit("")) != "") & within(F.col("created_at"), now, hours))
+    rows = posts.where((F.col("id") != "") & within(F.col("created_at"), now, hours))
     every = F.concat(F.coalesce("demand", none), F.coalesce("supply", none))
     if card is not None:
         rows = rows.where(F.array_contains(every, card))

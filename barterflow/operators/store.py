@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,14 +12,13 @@ HORIZON_HOURS, AHEAD_HOURS = 192, 1
 
 
 def within(at: Column, now: datetime, hours: int, ahead_hours: int = AHEAD_HOURS) -> Column:
-    """From ``hours`` before ``now`` to ``ahead_hours`` after, both ends included; null: no."""
-    n = F.lit(now).cast("timestamp")
-    return F.coalesce(at.between(n - F.expr(f"INTERVAL {hours} HOURS"), n + F.expr(f"INTERVAL {ahead_hours} HOURS")), F.lit(False))
+    """From ``hours`` before ``now`` to ``ahead_hours`` after, both ends included; null for null, so that as a filter it reaches the scan."""
+    return at.between(F.lit(now - timedelta(hours=hours)).cast("timestamp"), F.lit(now + timedelta(hours=ahead_hours)).cast("timestamp"))
 
 
 def retained(posts: DataFrame, now: datetime, hours: int = HORIZON_HOURS) -> DataFrame:
     """Posts with an id and a time inside the horizon."""
-    return posts.where((F.coalesce(F.col("id"), F.lit("")) != "") & within(F.col("created_at"), now, hours))
+    return posts.where((F.col("id") != "") & within(F.col("created_at"), now, hours))
 
 
 def united(old: DataFrame, new: DataFrame, now: datetime, hours: int = HORIZON_HOURS) -> DataFrame:
@@ -45,9 +44,8 @@ def coverage(posts: DataFrame) -> DataFrame:
 
 def requests_within(times: DataFrame, at: str, now: datetime, hours: int = 24) -> DataFrame:
     """Rows whose time (a timestamp, or text that may be no time) lies after ``now`` less ``hours``, and not after ``now``."""
-    n = F.lit(now).cast("timestamp")
     t = F.col(at) if times.schema[at].dataType.typeName().startswith("timestamp") else F.col(at).try_cast("timestamp")
-    return times.where((t > n - F.expr(f"INTERVAL {hours} HOURS")) & (t <= n))
+    return times.where((t > F.lit(now - timedelta(hours=hours)).cast("timestamp")) & (t <= F.lit(now).cast("timestamp")))
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -30,9 +30,18 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Has the folder removed when the driver's JVM ends; until then results may be read from it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
+
 def materialised(df: DataFrame, what: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: later steps neither recompute it nor lose it with an executor."""
     spark = df.sparkSession
     path = fresh_path(spark, what)
     df.write.option("compression", "zstd").parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
