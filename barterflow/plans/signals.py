@@ -115,11 +115,13 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.paging(table(spark, sf_dir, "timelines"), SINCE, MOST_PAGES)
+    out = pages.paging(table(spark, sf_dir, "timelines"), SINCE, MOST_PAGES)
+    return out.withColumn("oldest", F.unix_millis("oldest")).withColumnRenamed("oldest", "oldest_ms")
 
 
 def backfill_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages.backfill_summary(query_paging(spark, sf_dir).withColumn("failed", F.lit(False)))
+    jobs = pages.paging(table(spark, sf_dir, "timelines"), SINCE, MOST_PAGES).withColumn("failed", F.lit(False))
+    return pages.backfill_summary(jobs).withColumn("oldest", F.unix_millis("oldest")).withColumnRenamed("oldest", "oldest_ms")
 
 
 def name_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +185,7 @@ def vector_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     means = v.where("label IS NOT NULL").select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg("col").alias("x")).groupBy(F.col("label").cast("bigint").alias("ref")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
     ranked = fingerprint.nearest_vectors(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), means)
-    return ranked.select("id", "rank", "ref", F.round("score", 6).alias("score"))
+    return ranked.select("id", "rank", "ref", F.round("score", 5).alias("score"))
 
 
 def catalogue_audit(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,8 +54,29 @@ LINK = f"""coalesce(CASE WHEN {STATUS}, 2) <> '' THEN 'https://x.com/' || {STATU
   CASE WHEN screen_name <> '' THEN 'https://x.com/' || screen_name || '/status/' || id END)"""
 ID_MS = "(CAST({key} AS BIGINT) >> 22) + 1288834974657"
 
+PAGING = f"""{ENTRIES},
+stamped AS (SELECT page_id, CASE WHEN created_raw > 10000000000 THEN created_raw WHEN created_raw > 0 THEN created_raw * 1000 ELSE {ID_MS.format(key='id')} END AS ms FROM entries),
+oldest AS (SELECT page_id, min(ms) AS ms FROM stamped GROUP BY page_id),
+c AS (
+  SELECT t.page_id, t.query, t.run_id, t.fetched_at, coalesce(len(t.timeline.entry), 0) AS n, o.ms,
+    coalesce(nullif(t.timeline.head.oldestTweetId, ''), nullif(t.timeline.entry[len(t.timeline.entry)].id, '')) AS cursor
+  FROM timelines t LEFT JOIN oldest o ON o.page_id = t.page_id
+), f AS (
+  SELECT *, coalesce(ms <= epoch_ms(TIMESTAMPTZ '2026-09-21 12:00:00+00'), false) AS cut,
+    cursor IS NOT DISTINCT FROM lag(cursor) OVER (PARTITION BY query, run_id ORDER BY fetched_at, page_id) AS again,
+    row_number() OVER (PARTITION BY query, run_id ORDER BY fetched_at, page_id) AS no FROM c
+), g AS (SELECT *, NOT cut AND (n = 0 OR cursor IS NULL OR again) AS spent FROM f),
+h AS (
+  SELECT *, coalesce(max(CASE WHEN cut OR spent THEN 1 ELSE 0 END) OVER (PARTITION BY query, run_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM g
+), paged AS (
+  SELECT query, run_id, count(*) AS pages, CAST(sum(n) AS BIGINT) AS total_entries, min(ms) AS oldest_ms, bool_or(cut) AS reached_cutoff, bool_or(spent) AS exhausted
+  FROM h WHERE ended = 0 AND no <= 10 GROUP BY query, run_id
+), jobs AS (SELECT *, NOT reached_cutoff AND NOT exhausted AND pages >= 10 AS capped FROM paged)"""
+
 MENTIONS = "SELECT unnest(demand) AS name FROM posts UNION ALL SELECT unnest(supply) AS name FROM posts"
 
+MARK = f"(?:求む?|希望|譲|出|提供)[{SPACE}]*[:)]"
+
 ORACLES = {
     "name_counts": f"WITH {COUNTS} SELECT window_key, name, demand, supply FROM counted",
     "rank_windows_codepoint": f"WITH {COUNTS} {ranked('counted')}",
@@ -94,11 +115,22 @@ u AS (SELECT name AS canonical, name AS search_name FROM n UNION SELECT canonica
 SELECT canonical, search_name, 'ポケポケ ' || search_name || ' (求 希望) (譲 出 提供)' AS query FROM u""",
     "highlight_stripped": f"WITH {ENTRIES} SELECT page_id, pos, {clean("regexp_replace(body, chr(9) || '(?:START|END)' || chr(9), '', 'g')")} AS body FROM entries",
     "clean_documents": f"SELECT doc_id, {clean('text')} AS text FROM documents",
+    "body_segments": f"""WITH {ENTRIES}, t AS (SELECT page_id, pos, translate({clean("regexp_replace(body, chr(9) || '(?:START|END)' || chr(9), '', 'g')")}, '：﹕）', '::)') AS x FROM entries),
+s AS (SELECT page_id, pos, unnest(string_split(regexp_replace(x, '({MARK})', chr(1) || '\\1', 'g'), chr(1))[2:]) AS seg FROM t)
+SELECT page_id, pos, CASE WHEN regexp_matches(seg, '^(求|希望)') THEN 'demand' ELSE 'supply' END AS kind, regexp_replace(seg, '^{MARK}', '') AS text FROM s""",
     "entry_links": f"""WITH {ENTRIES}, l AS (SELECT page_id, pos, {LINK} AS link FROM entries)
 SELECT page_id, pos, link AS url, nullif(regexp_extract(link, '/status/([0-9]+)', 1), '') AS status_id, nullif(regexp_extract(link, '^https://x.com/([^/]+)/status/', 1), '') AS author FROM l""",
     "entry_times": f"""WITH {ENTRIES} SELECT page_id, pos, CASE WHEN created_raw > 10000000000 THEN created_raw WHEN created_raw > 0 THEN created_raw * 1000
   ELSE {ID_MS.format(key='id')} END AS ms FROM entries""",
     "id_times": f"SELECT hit_id, {ID_MS.format(key='k')} AS ms FROM (SELECT hit_id, nullif({KEY}, '') AS k FROM posts)",
+    "query_paging": f"WITH {PAGING} SELECT query, run_id, pages, total_entries, oldest_ms, reached_cutoff, exhausted, capped FROM jobs",
+    "backfill_summary": f"""WITH {PAGING} SELECT count(*) AS attempted, count(*) AS succeeded, CAST(0 AS BIGINT) AS failed, count(*) FILTER (WHERE reached_cutoff) AS cutoff,
+  count(*) FILTER (WHERE exhausted) AS exhausted, count(*) FILTER (WHERE capped) AS capped, min(oldest_ms) AS oldest_ms, count(*) FILTER (WHERE capped) = 0 AS complete FROM jobs""",
+    "vector_matches": """WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
+m AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS y FROM e WHERE label IS NOT NULL GROUP BY label, pos),
+c AS (SELECT e.vec_id, m.label, corr(CAST(e.x AS DOUBLE), m.y) AS score FROM e JOIN m ON m.pos = e.pos GROUP BY e.vec_id, m.label),
+r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) AS rank FROM c)
+SELECT vec_id AS id, rank, CAST(label AS BIGINT) AS ref, round(score, 5) AS score FROM r WHERE rank <= 2""",
     "catalogue_audit": f"""WITH n AS (SELECT DISTINCT name FROM ({MENTIONS}) WHERE name IS NOT NULL), c AS (SELECT unnest(cards) AS name FROM cards)
 SELECT 'unknown' AS finding, name FROM n WHERE name NOT IN (SELECT name FROM c)
 UNION ALL SELECT 'extra', name FROM (SELECT DISTINCT name FROM c) WHERE name NOT IN (SELECT name FROM n)
