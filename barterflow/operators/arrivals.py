@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from barterflow.functions.ids import number_key
 from barterflow.shared import delete_at_end, fresh_path
 
-#: Shards of the dictionary. A shard is numbered inside one task, so it must fit there: at 4,096 shards 100 billion identifiers are 25 million a shard.
+#: Shards of a new dictionary, at least; more where the session shuffles into more partitions. A shard is numbered inside one task.
 SHARDS = 256
 
 DICTIONARY, BITMAPS, FIRSTS = "dictionary", "bitmaps", "firsts"
@@ -44,10 +44,15 @@ def bit_is_set(bits: Column, position: Column) -> Column:
 
 
 class SeenState:
-    """Dictionary and bitmaps in a folder, by version. ``path`` None: nothing seen yet, nothing kept."""
+    """Dictionary and bitmaps in a folder, by version. ``shards`` counts for a new state only; an old one keeps its own."""
 
-    def __init__(self, spark: SparkSession, path: str, shards: int = SHARDS):
-        self.spark, self.path, self.shards = spark, path.rstrip("/"), shards
+    def __init__(self, spark: SparkSession, path: str, shards: int | None = None):
+        self.spark, self.path = spark, path.rstrip("/")
+        old = self.version()
+        if old:
+            self.shards = json.loads(spark.read.text(f"{self.path}/commits/{old}").first().value)["shards"]
+        else:
+            self.shards = shards or max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def _fs(self) -> tuple[JavaObject, JavaObject]:
         jvm = self.spark._jvm

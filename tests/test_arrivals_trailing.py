@@ -39,7 +39,7 @@ def test_batches_share_what_was_seen(spark, tmp_path):
     assert sorted(r.row for r in state.ingest(a, "id", ["at"], "row").collect()) == [2, 3]
     assert sorted(r.row for r in state.ingest(b, "id", ["at"], "row").collect()) == [6]
     assert sorted(r.row for r in surplus_copies(a, "id", ["at"], "row", state).collect()) == [1, 2, 3]
-    assert state.version() == 3
+    assert state.version() == 3 and SeenState(spark, state.path, 99).shards == 3
     assert state.table(BITMAPS, 3).agg(F.sum(F.bitmap_count("bits")).alias("n")).first().n == 3
 
 
