@@ -116,6 +116,16 @@ class Model:
         self.weight = np.where(n > 0, (spread / var - 1.0).clip(0.0) + 1e-2, 0.0)
         self.slope, self.shift = 1.0, 0.0
 
+    def __getstate__(self) -> dict:
+        """What goes to the tasks: places that weigh, in single precision; counts stay on the driver."""
+        at = np.flatnonzero(self.weight).astype(np.int32)
+        return {"at": at, "b": self.b[at].astype(np.float32), "w": self.weight[at].astype(np.float32), "line": (self.mean, self.slope, self.shift)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.b, self.weight = np.zeros(PLACES), np.zeros(PLACES)
+        self.b[state["at"]], self.weight[state["at"]] = state["b"], state["w"]
+        self.mean, self.slope, self.shift = state["line"]
+
     def raw_levels(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Level of each text before the line, and the weight of evidence behind it; the mean level where there is none."""
         w, wb, wbb = (np.zeros(len(texts)) for _ in range(3))
