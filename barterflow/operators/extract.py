@@ -7,7 +7,8 @@ count too, as do their quantities.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +43,10 @@ def copies(tail: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(MOST_COPIES), n))
 
 
+def _with_copies(name: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    return lambda m: F.struct(name(m).alias("name"), copies(F.substring(m, F.length(name(m)) + 1, F.length(m))).alias("n"))
+
+
 def mentions(segment: Column | str, names: Sequence[str], aliases: Sequence[tuple[str, str]] = ()) -> Column:
     """array<struct<name, n>> of the names in a segment with their quantities, in order of position by group; empty for null and for no names.
 
@@ -50,9 +55,12 @@ def mentions(segment: Column | str, names: Sequence[str], aliases: Sequence[tupl
     text = canonical_aliases(F.coalesce(col(segment), F.lit("")), aliases)
     found = []
     for layer in name_layers(names):
-        pattern = F.lit(rf"(?=({quoted(layer)})(?![{NAME_CHARS}])([\s\S]{{0,{TAIL}}}))")
-        pairs = F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("name"), F.regexp_extract_all(text, pattern, 2).alias("tail"))
-        found.append(F.transform(pairs, lambda p: F.struct(p["name"].alias("name"), copies(p["tail"]).alias("n"))))
+        # one pass: each match with its tail; the name is then read off the short match
+        begins = "".join(sorted({re.sub(r"([\\\]\[^&-])", r"\\\1", n[0]) for n in layer}))
+        names_of = rf"(?:{quoted(layer)})(?![{NAME_CHARS}])"
+        matches = F.regexp_extract_all(text, F.lit(rf"(?=[{begins}])(?=({names_of}[\s\S]{{0,{TAIL}}}))"), 1)
+        name = lambda m, p=names_of: F.regexp_extract(m, rf"\A{p}", 0)
+        found.append(F.transform(matches, _with_copies(name)))
     if not found:
         return F.array().cast("array<struct<name:string,n:int>>")
     return F.concat(*found)
@@ -91,16 +99,18 @@ def body_text(c: Column | str) -> Column:
 
 def trade_text(body: Column | str, names: Sequence[str], aliases: Sequence[tuple[str, str]] = ()) -> list[Column]:
     """demand, supply, explicit of a body: both sides need a heading, else nothing is taken from it."""
-    parts = segments(body_text(body), BODY_MARK)
+    return two_sided(segments(body_text(body), BODY_MARK), names, aliases)
+
+
+def two_sided(parts: Column, names: Sequence[str], aliases: Sequence[tuple[str, str]] = ()) -> list[Column]:
+    """demand, supply, explicit of the segments of a text."""
     both = _kinds(parts) == 2
     return [*_parsed(parts, both, names, aliases), F.coalesce(both, F.lit(False)).alias("explicit")]
 
 
 def image_text(plain: Column | str, names: Sequence[str], aliases: Sequence[tuple[str, str]] = ()) -> list[Column]:
     """demand, supply, explicit of a text read from an image (already NFKC): more headings, with or without a sign after them."""
-    parts = segments(ocr_text(plain), IMAGE_MARK)
-    both = _kinds(parts) == 2
-    return [*_parsed(parts, both, names, aliases), F.coalesce(both, F.lit(False)).alias("explicit")]
+    return two_sided(segments(ocr_text(plain), IMAGE_MARK), names, aliases)
 
 
 def one_sided_text(plain: Column | str, names: Sequence[str], aliases: Sequence[tuple[str, str]] = ()) -> list[Column]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barterflow.functions.text import entry_time, entry_url, strip_highlight
-from barterflow.operators.extract import trade_text
+from barterflow.operators.extract import BODY_MARK, body_text, segments, two_sided
 from barterflow.operators.store import first_wins, last_wins
 
 ENTRY = "struct<id:string,url:string,screenName:string,createdAt:bigint,displayTextBody:string>"
@@ -71,7 +71,10 @@ def parsed_entries(found: DataFrame, names: Sequence[str], aliases: Sequence[tup
     e = found.where("id <> ''").withColumn("created_at", entry_time("created_raw", "id")).where("created_at IS NOT NULL")
     e = e.withColumn("body", strip_highlight(F.coalesce("body", F.lit("")))).withColumn("link", entry_url("url", "screen_name", "id"))
     rest = [c for c in e.columns if c not in ("url", "link", "screen_name", "created_raw")]
-    return e.select(*rest, F.col("link").alias("url"), F.col("screen_name").alias("author"), *trade_text("body", names, aliases))
+    # unfolding an array of one keeps filters on what was parsed above the parsing: it runs once a row
+    e = e.withColumn("__parts", F.explode(F.array(segments(body_text("body"), BODY_MARK))))
+    e = e.withColumn("__parsed", F.explode(F.array(F.struct(*two_sided(F.col("__parts"), names, aliases)))))
+    return e.select(*rest, F.col("link").alias("url"), F.col("screen_name").alias("author"), "__parsed.*")
 
 
 def accepted(parsed: DataFrame) -> DataFrame:
