@@ -4,12 +4,15 @@ Identifiers are dictionary-encoded exactly: an identifier belongs to the shard i
 names and gets a dense code inside that shard. What was delivered is one bit a code, kept
 as bitmaps of 32,768 bits a row, compressed in Parquet. A batch selects one arrival of each
 unseen bit; then the new bits are united with the old ones in a new version of the state,
-which counts only from the moment its version file appears (a rename).
+which counts only from the moment its version file appears (a rename). That file names the
+folder of the version and the batch it came from, so a try that died is left behind unread
+and a batch that is repeated finds what it selected.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,7 +53,7 @@ class SeenState:
         self.spark, self.path = spark, path.rstrip("/")
         old = self.version()
         if old:
-            self.shards = json.loads(spark.read.text(f"{self.path}/commits/{old}").first().value)["shards"]
+            self.shards = self._committed(old)["shards"]
         else:
             self.shards = shards or max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -67,18 +70,32 @@ class SeenState:
             return 0
         return max([int(s.getPath().getName()) for s in fs.listStatus(root) if s.getPath().getName().isdigit()], default=0)
 
-    def _commit(self, version: int) -> None:
+    def _committed(self, version: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/commits/{version}").first().value)
+
+    def version_of(self, stream: str, number: int) -> int | None:
+        """The version that batch ``number`` of a stream was committed as; None if it wasn't."""
+        if not self.version():
+            return None
+        commits = self.spark.read.schema("version int, stream string, batch bigint").json(f"{self.path}/commits")
+        return commits.where((F.col("stream") == stream) & (F.col("batch") == number)).agg(F.max("version").alias("v")).first().v
+
+    def _commit(self, version: int, **more: str | int | None) -> None:
         fs, path = self._fs()
-        draft, final = path(f"{self.path}/drafts/{version}"), path(f"{self.path}/commits/{version}")
+        draft, final = path(f"{self.path}/drafts/{version}-{uuid.uuid4().hex}"), path(f"{self.path}/commits/{version}")
         fs.mkdirs(path(f"{self.path}/commits"))
         out = fs.create(draft, True)
-        out.write(bytearray(json.dumps({"version": version, "shards": self.shards}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "shards": self.shards} | more).encode()))
         out.close()
         if fs.exists(final) or not fs.rename(draft, final):
             raise RuntimeError(f"version {version} was committed by another writer; ingest the batch again")
 
     def table(self, what: str, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v{version}/{what}")
+        return self.spark.read.parquet(f"{self.path}/{self._committed(version).get('at', f'v{version}')}/{what}")
+
+    def selected(self, version: int, row_id: str) -> DataFrame:
+        """Row ids of the arrivals selected for a committed version."""
+        return self.table(FIRSTS, version).select(F.col("row_id").alias(row_id))
 
     def ingest(self, batch: DataFrame, id_col: str, order: list[str], row_id: str) -> DataFrame:
         """Row ids of the arrivals selected from ``batch``; afterwards their identifiers are seen.
@@ -86,11 +103,16 @@ class SeenState:
         Null and blank identifiers are never selected. ``order`` picks the arrival of an
         identifier, nulls last, then the smallest ``row_id``.
         """
+        return self.selected(self.add(batch, id_col, order, row_id), row_id)
+
+    def add(self, batch: DataFrame, id_col: str, order: list[str], row_id: str, stream: str | None = None, number: int | None = None) -> int:
+        """As ``ingest``; returns the version committed, for ``version_of`` and ``selected``."""
         old, new = self.version(), self.version() + 1
         key = number_key(id_col)
         firsts = first_arrivals(batch, key, [F.col(c) for c in [*order, row_id]], [F.col(row_id).alias("row_id")])
         firsts = firsts.select(F.pmod(F.xxhash64("__key"), F.lit(self.shards)).cast("int").alias("shard"), F.col("__key").alias("key"), "row_id")
-        at = f"{self.path}/v{new}"
+        folder = f"v{new}-{uuid.uuid4().hex}"
+        at = f"{self.path}/{folder}"
         by_shard = Window.partitionBy("shard")
         if old:
             known = self.table(DICTIONARY, old)
@@ -105,7 +127,7 @@ class SeenState:
             bits = self.table(BITMAPS, old)
             firsts = firsts.join(bits, ["shard", "bucket"], "left").where(~bit_is_set(F.col("bits"), F.col("bit"))).drop("bits")
         firsts.select("shard", "bucket", "bit", "key", "code", "row_id").write.option("compression", "zstd").parquet(f"{at}/{FIRSTS}")
-        selected = self.table(FIRSTS, new)
+        selected = self.spark.read.parquet(f"{at}/{FIRSTS}")
         added = selected.groupBy("shard", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
         codes = selected.select("shard", "key", "code")
         if old:
@@ -113,8 +135,8 @@ class SeenState:
             codes = codes.unionByName(known).distinct()
         added.write.option("compression", "zstd").parquet(f"{at}/{BITMAPS}")
         codes.write.option("compression", "zstd").parquet(f"{at}/{DICTIONARY}")
-        self._commit(new)
-        return selected.select(F.col("row_id").alias(row_id))
+        self._commit(new, at=folder, stream=stream, batch=number)
+        return new
 
 
 def surplus_copies(rows: DataFrame, id_col: str, order: list[str], row_id: str, state: SeenState | None = None) -> DataFrame:

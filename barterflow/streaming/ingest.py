@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +27,28 @@ def ingest_pages(pages: DataFrame, store: str, checkpoint: str, names: Sequence[
     return pages.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def ingest_once(arrivals: DataFrame, state: str, out: str, checkpoint: str, id_col: str, order: list[str], row_id: str, shards: int = 64) -> StreamingQuery:
-    """Writes each message of a stream exactly once, whatever batch its copies come in: bitmaps of what was seen are united after each batch."""
+    """Writes each message of a stream exactly once, whatever batch its copies come in: bitmaps of what was seen are united after each batch.
+
+    A batch that is repeated after a failure is known by the stream's id and its number, and its
+    output is written again from what was committed for it. Several streams, one after another,
+    may use one state; ``out`` belongs to one state.
+    """
     spark = arrivals.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
+        stream = json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
         seen = SeenState(spark, state, shards)
-        if seen.version() > number:  # the batch was committed before a failure
-            return
-        kept = seen.ingest(batch, id_col, order, row_id)
-        batch.join(kept, row_id, "left_semi").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        version = seen.version_of(stream, number)
+        if version is None:
+            if exists(spark, folder := f"{out}/batch={seen.version()}"):
+                raise ValueError(f"{folder} isn't from this state")
+            version = seen.add(batch, id_col, order, row_id, stream, number)
+        batch.join(seen.selected(version, row_id), row_id, "left_semi").write.mode("overwrite").parquet(f"{out}/batch={version - 1}")
 
     return arrivals.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,6 +5,7 @@ from datetime import datetime, timezone
 
 import pytest
 
+from barterflow.operators.arrivals import SeenState
 from barterflow.sources import files, pages
 from barterflow.streaming.ingest import ingest_once, ingest_pages, page_stream
 
@@ -132,3 +133,47 @@ def test_stream_exactly_once(spark, tmp_path):
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*")
         ingest_once(stream, f"file://{tmp_path}/s", f"{tmp_path}/out", f"{tmp_path}/c", "id", ["at"], "row", 3).awaitTermination()
     assert sorted(r.row for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [2, 4]
+
+
+def landed_arrivals(spark, tmp_path, n, rows):
+    spark.createDataFrame(rows, ARRIVALS).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+
+
+def once(spark, tmp_path, checkpoint="c"):
+    stream = spark.readStream.schema(ARRIVALS).parquet(f"{tmp_path}/in/*")
+    ingest_once(stream, f"file://{tmp_path}/s", f"{tmp_path}/out", f"{tmp_path}/{checkpoint}", "id", ["at"], "row", 3).awaitTermination()
+    return sorted(r.row for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+
+ARRIVALS = "row bigint, id string, at int"
+
+
+@pytest.mark.parametrize("committed", [False, True])
+def test_stream_exactly_once_after_a_failure(spark, tmp_path, monkeypatch, committed):
+    """The driver is lost just before, or just after, the second batch's bits are committed."""
+    (tmp_path / "in").mkdir()
+    landed_arrivals(spark, tmp_path, 0, [(1, "7", 2), (2, "07", 1)])
+    assert once(spark, tmp_path) == [2]
+    landed_arrivals(spark, tmp_path, 1, [(3, "7", 0), (4, "8", 1), (5, "8", 0)])
+    commit = SeenState._commit
+
+    def dies(self, *a, **k):
+        if committed:
+            commit(self, *a, **k)
+        raise OSError("lost")
+
+    monkeypatch.setattr(SeenState, "_commit", dies)
+    with pytest.raises(Exception, match="lost"):
+        once(spark, tmp_path)
+    monkeypatch.setattr(SeenState, "_commit", commit)
+    assert once(spark, tmp_path) == [2, 5]
+    landed_arrivals(spark, tmp_path, 2, [(6, "8", 0), (7, "9", 0)])
+    assert once(spark, tmp_path) == [2, 5, 7]
+
+
+def test_stream_with_a_new_checkpoint(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    landed_arrivals(spark, tmp_path, 0, [(1, "7", 2)])
+    assert once(spark, tmp_path) == [1]
+    landed_arrivals(spark, tmp_path, 1, [(2, "7", 0), (3, "8", 0)])
+    assert once(spark, tmp_path, "c2") == [1, 3]
