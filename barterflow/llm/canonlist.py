@@ -212,26 +212,31 @@ def closest(values: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def listed_values(entries: DataFrame) -> DataFrame:
-    """id, list, pos, key of each value an entry lists as wanted or offered. ``entries``: id, plain. Empty values are left out."""
+    """id, body_key, list, pos, key of each value an entry lists as wanted or offered. ``entries``: id, body_key, plain. Empty values are left out."""
     return query(
         entries.sparkSession,
         f"""
         WITH lists AS (
-          SELECT id, list, split(regexp_replace(regexp_replace(section, {quoted('^' + MARK)}, ''), {quoted(AFTER.lower())}, ''), {quoted(BETWEEN)}) AS cells
+          SELECT id, body_key, list, split(regexp_replace(regexp_replace(section, {quoted('^' + MARK)}, ''), {quoted(AFTER.lower())}, ''), {quoted(BETWEEN)}) AS cells
           FROM {{entries}} LATERAL VIEW posexplode(split(plain, {quoted('(?=' + MARK + ')')})) AS list, section
           WHERE section RLIKE {quoted('^' + MARK)}
-        ), cells AS (SELECT id, list, pos, regexp_replace(cell, {quoted(QUANTITY)}, '') AS cell FROM lists LATERAL VIEW posexplode(cells) AS pos, cell),
-        keys AS (SELECT id, list, pos, {key_sql('cell')} AS key FROM cells WHERE cell <> '')
-        SELECT id, list, pos, key FROM keys WHERE key RLIKE '[^0-9:();.!?+]'
+        ), cells AS (SELECT id, body_key, list, pos, regexp_replace(cell, {quoted(QUANTITY)}, '') AS cell FROM lists LATERAL VIEW posexplode(cells) AS pos, cell),
+        keys AS (SELECT id, body_key, list, pos, {key_sql('cell')} AS key FROM cells WHERE cell <> '')
+        SELECT id, body_key, list, pos, key FROM keys WHERE key RLIKE '[^0-9:();.!?+]'
         """,
         entries=entries,
     )
 
 
 def mapped_values(entries: DataFrame, cards: DataFrame) -> DataFrame:
-    """id, key, name of each listed value; name null where the value means no entry of the list.
+    """id, key, name of each listed value; name null where the value means no entry of the list."""
+    return mapped_by_body(entries, cards).select("id", "key", "name").distinct()
 
-    Two neighbours of which neither is an entry as it stands are also read as one value, for
+
+def mapped_by_body(entries: DataFrame, cards: DataFrame) -> DataFrame:
+    """id, body_key, key, name of each listed value, as often as it is listed; name null where the value means no entry of the list.
+
+    Two neighbours of one body of which neither is an entry as it stands are also read as one value, for
     names that hold a sign that stands between values.
     """
     spark = entries.sparkSession
@@ -241,9 +246,9 @@ def mapped_values(entries: DataFrame, cards: DataFrame) -> DataFrame:
     doubles = query(
         spark,
         """
-        WITH open AS (SELECT v.id, v.list, v.pos, v.key, f.distance FROM {values} v LEFT JOIN {found} f ON v.key = f.key WHERE f.distance IS NULL OR f.distance > 0)
-        SELECT a.id, a.list, a.pos, concat(a.key, b.key) AS key, least(a.distance, b.distance) AS single
-        FROM open a JOIN open b ON a.id = b.id AND a.list = b.list AND a.pos + 1 = b.pos
+        WITH open AS (SELECT v.id, v.body_key, v.list, v.pos, v.key, f.distance FROM {values} v LEFT JOIN {found} f ON v.key = f.key WHERE f.distance IS NULL OR f.distance > 0)
+        SELECT a.id, a.body_key, a.list, a.pos, concat(a.key, b.key) AS key, least(a.distance, b.distance) AS single
+        FROM open a JOIN open b ON a.id = b.id AND a.body_key = b.body_key AND a.list = b.list AND a.pos + 1 = b.pos
         """,
         values=values,
         found=found,
@@ -253,13 +258,13 @@ def mapped_values(entries: DataFrame, cards: DataFrame) -> DataFrame:
     return query(
         spark,
         """
-        WITH pairs AS (SELECT d.id, d.list, d.pos, d.key, j.name FROM {doubles} d JOIN {joined} j ON d.key = j.key WHERE d.single IS NULL OR j.distance <= d.single + 2),
-        taken AS (SELECT id, list, pos FROM pairs UNION SELECT id, list, pos + 1 FROM pairs),
-        singles AS (SELECT v.id, v.key FROM {values} v LEFT ANTI JOIN taken t ON v.id = t.id AND v.list = t.list AND v.pos = t.pos),
-        unmatched AS (SELECT s.id, s.key FROM singles s LEFT ANTI JOIN {found} f ON s.key = f.key)
-        SELECT id, key, name FROM pairs
-        UNION SELECT s.id, s.key, f.name FROM singles s JOIN {found} f ON s.key = f.key
-        UNION SELECT id, key, CAST(NULL AS STRING) FROM unmatched
+        WITH pairs AS (SELECT d.id, d.body_key, d.list, d.pos, d.key, j.name FROM {doubles} d JOIN {joined} j ON d.key = j.key WHERE d.single IS NULL OR j.distance <= d.single + 2),
+        taken AS (SELECT id, body_key, list, pos FROM pairs UNION SELECT id, body_key, list, pos + 1 FROM pairs),
+        singles AS (SELECT v.id, v.body_key, v.key FROM {values} v LEFT ANTI JOIN taken t ON v.id = t.id AND v.body_key = t.body_key AND v.list = t.list AND v.pos = t.pos),
+        unmatched AS (SELECT s.id, s.body_key, s.key FROM singles s LEFT ANTI JOIN {found} f ON s.key = f.key)
+        SELECT id, body_key, key, name FROM pairs
+        UNION ALL SELECT s.id, s.body_key, s.key, f.name FROM singles s JOIN {found} f ON s.key = f.key
+        UNION ALL SELECT id, body_key, key, CAST(NULL AS STRING) FROM unmatched
         """,
         doubles=doubles,
         joined=joined,
@@ -269,8 +274,8 @@ def mapped_values(entries: DataFrame, cards: DataFrame) -> DataFrame:
 
 
 def plain_bodies(entries: DataFrame) -> DataFrame:
-    """id, body, plain of each distinct (id, body), neither null; written once."""
-    given = entries.where("id IS NOT NULL AND body IS NOT NULL").select("id", "body").distinct()
+    """id, body, body_key, plain of each distinct (id, body), neither null; written once. ``body_key`` tells the bodies of one id apart."""
+    given = entries.where("id IS NOT NULL AND body IS NOT NULL").select("id", "body").distinct().selectExpr("id", "body", "xxhash64(body) AS body_key")
     return materialised(with_plain(entries.sparkSession, given, "body"), "bodies")
 
 
@@ -282,7 +287,7 @@ def named_otherwise(entries: DataFrame, cards: DataFrame) -> DataFrame:
     """
     spark = entries.sparkSession
     given = plain_bodies(entries)
-    mapped = materialised(mapped_values(given, cards), "mapped")
+    mapped = materialised(mapped_by_body(given, cards), "mapped")
     written = query(
         spark,
         """
@@ -301,7 +306,7 @@ def named_otherwise(entries: DataFrame, cards: DataFrame) -> DataFrame:
     free = query(
         spark,
         f"""
-        SELECT DISTINCT id, {key_sql('spelling')} AS key FROM {{given}}
+        SELECT DISTINCT id, body_key, {key_sql('spelling')} AS key FROM {{given}}
         LATERAL VIEW explode(regexp_extract_all(plain, {quoted(f"(?<![ァ-ヺー])({spelt})(?![ァ-ヺー])")}, 1)) AS spelling WHERE NOT plain RLIKE {quoted(MARK)}
         """,
         given=given,
@@ -311,13 +316,13 @@ def named_otherwise(entries: DataFrame, cards: DataFrame) -> DataFrame:
         spark,
         """
         WITH named AS (
-          SELECT id, name FROM {mapped} WHERE name IS NOT NULL
-          UNION SELECT f.id, k.name FROM {free} f JOIN {by_key} k ON f.key = k.key
+          SELECT id, body_key, name FROM {mapped} WHERE name IS NOT NULL
+          UNION SELECT f.id, f.body_key, k.name FROM {free} f JOIN {by_key} k ON f.key = k.key
         ), unstored AS (
-          SELECT n.id, n.name, bool_or(exists(w.forms, f -> contains(g.body, f))) AS stored
-          FROM named n JOIN {given} g ON n.id = g.id JOIN {written} w ON n.name = w.name GROUP BY n.id, n.name
+          SELECT n.id, n.name FROM named n JOIN {given} g ON n.id = g.id AND n.body_key = g.body_key JOIN {written} w ON n.name = w.name
+          WHERE NOT exists(w.forms, f -> contains(g.body, f))
         )
-        SELECT id, name FROM unstored WHERE NOT stored
+        SELECT id, name FROM unstored
         UNION SELECT id, '?' FROM {mapped} WHERE name IS NULL
         """,
         mapped=mapped,

@@ -105,3 +105,19 @@ def test_named_otherwise(spark, cards):
 def test_empty(spark, cards):
     none = spark.createDataFrame([], "id string, body string")
     assert C.named_otherwise(none, cards).count() == 0
+
+
+def test_bodies_of_one_id_are_kept_apart(spark, cards):
+    """Neighbours and names taken as two parts count in their own body only."""
+    rows = [
+        ("a", "求:カフェ・ミモル 譲:ソヨギ"), ("a", "求:るもか・ガラクタの山 譲:ソヨギ"),
+        ("b", "求:カフェ、ソヨンギ"), ("b", "求:ルモカドラゴニス、ミモル"),
+        ("c", "求:ルモカ"), ("c", "求:るもか"),
+    ]
+    df = spark.createDataFrame(rows, "id string, body string")
+    got = sorted((r.id, r.name) for r in C.named_otherwise(df, cards).collect())
+    apart = {(i, r.name) for n, (i, b) in enumerate(rows) for r in C.named_otherwise(spark.createDataFrame([(f"{n}", b)], "id string, body string"), cards).collect()}
+    assert set(got) == apart and len(got) == len(apart)
+    assert {("a", "カフェ・ミモレ"), ("a", "ルモカ"), ("a", "?"), ("c", "ルモカ")} <= apart
+    values = C.mapped_values(C.plain_bodies(df), cards)
+    assert values.columns == ["id", "key", "name"] and ("a", "ルモカ", "ルモカ") in [tuple(r) for r in values.collect()]
