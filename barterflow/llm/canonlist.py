@@ -34,6 +34,17 @@ AFTER = r"(?s)(?:※|#|フレコ|整理番号|ID *[: ]|No\.).*$"
 BETWEEN = "[\n、,/・]"
 QUANTITY = r" *(?:[×x*] *[0-9]+|[0-9]+ *枚)\s*$"
 
+#: Bodies without lists: runs of letters, the particles a name is told from, where a run may be cut (where the script changes, and beside a particle), the pieces a name may take,
+#: and the edits allowed by length of what is written: running text holds ordinary words an edit or two from a short name, a list doesn't.
+RUN = "[\\p{L}\\p{M}ー・]+"
+PARTICLES = "の|が|は|を|も|と|に|で|へ|や|だけ|さん|ちゃん"
+CUT = (
+    "(?<=[ぁ-ゖー])(?=[^ぁ-ゖー])|(?<=[ァ-ヺー])(?=[^ァ-ヺー])|(?<=[\\p{IsHan}々])(?=[^\\p{IsHan}々])|(?<=[a-z])(?=[^a-z])|(?<=・)(?=.)"
+    f"|(?<=[ぁ-ゖー])(?=(?:{PARTICLES})(?![ぁ-ゖー]))|(?<=[^ぁ-ゖー][のがはをもとにでへや])(?=[ぁ-ゖ])"
+)
+PIECES = 12
+FREE_EDITS = "CASE WHEN length(s.key) <= 4 THEN 0 WHEN length(s.key) <= 7 THEN 1 ELSE 2 END"
+
 
 def query(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
     """``text`` with each {name} standing for a DataFrame; braces of patterns stay as they are."""
@@ -230,17 +241,16 @@ def listed_values(entries: DataFrame) -> DataFrame:
 
 def mapped_values(entries: DataFrame, cards: DataFrame) -> DataFrame:
     """id, key, name of each listed value; name null where the value means no entry of the list."""
-    return mapped_by_body(entries, cards).select("id", "key", "name").distinct()
+    return mapped_by_body(entries, materialised(reference(cards), "reference")).select("id", "key", "name").distinct()
 
 
-def mapped_by_body(entries: DataFrame, cards: DataFrame) -> DataFrame:
+def mapped_by_body(entries: DataFrame, refs: DataFrame) -> DataFrame:
     """id, body_key, key, name of each listed value, as often as it is listed; name null where the value means no entry of the list.
 
     Two neighbours of one body of which neither is an entry as it stands are also read as one value, for
     names that hold a sign that stands between values.
     """
     spark = entries.sparkSession
-    refs = materialised(reference(cards), "reference")
     values = materialised(listed_values(entries), "values")
     found = materialised(closest(values.select("key").distinct(), refs), "closest")
     doubles = query(
@@ -279,15 +289,56 @@ def plain_bodies(entries: DataFrame) -> DataFrame:
     return materialised(with_plain(entries.sparkSession, given, "body"), "bodies")
 
 
+def named_freely(entries: DataFrame, refs: DataFrame) -> DataFrame:
+    """id, body_key, name of the entries of the list that bodies without lists name, in either kana, by reading or romanisation, and within FREE_EDITS.
+
+    What may be a name begins and ends where a run of letters may be cut. Of two, one inside the other, the closer one is taken, then the longer.
+    """
+    spark = entries.sparkSession
+    spans = query(
+        spark,
+        f"""
+        WITH runs AS (
+          SELECT id, body_key, run, split(regexp_replace(letters, {quoted(CUT)}, '\uE000'), '\uE000') AS pieces
+          FROM {{entries}} LATERAL VIEW posexplode(regexp_extract_all(plain, {quoted(RUN)}, 0)) AS run, letters WHERE NOT plain RLIKE {quoted(MARK)}
+        ), spans AS (
+          SELECT id, body_key, run, a, z, array_join(slice(pieces, a, z - a + 1), '') AS span
+          FROM runs LATERAL VIEW explode(sequence(1, size(pieces))) AS a LATERAL VIEW explode(sequence(a, least(size(pieces), a + {PIECES - 1}))) AS z
+        ), keys AS (SELECT id, body_key, run, a, z, {key_sql('span')} AS key FROM spans)
+        SELECT * FROM keys WHERE length(key) BETWEEN 3 AND (SELECT max(len) FROM {{refs}}) + 2
+        """,
+        entries=entries,
+        refs=refs,
+    )
+    spans = materialised(spans, "spans")
+    found = materialised(closest(spans.select("key").distinct(), refs), "freely")
+    near = query(
+        spark,
+        f"SELECT s.id, s.body_key, s.run, s.a, s.z, f.name, f.distance FROM {{spans}} s JOIN {{found}} f ON s.key = f.key WHERE f.distance <= {FREE_EDITS}",
+        spans=spans,
+        found=found,
+    )
+    return query(
+        spark,
+        """
+        SELECT DISTINCT n.id, n.body_key, n.name FROM {near} n LEFT ANTI JOIN {near} o ON n.id = o.id AND n.body_key = o.body_key AND n.run = o.run
+          AND ((o.a <= n.a AND n.z <= o.z AND o.distance <= n.distance) OR (n.a <= o.a AND o.z <= n.z AND o.distance < n.distance)) AND NOT (o.a = n.a AND o.z = n.z)
+        """,
+        near=near,
+    )
+
+
 def named_otherwise(entries: DataFrame, cards: DataFrame) -> DataFrame:
     """id, name of the entries of the list that a body names, but neither by the name nor by an alias of it as stored; name '?' where a listed value means none.
 
-    Bodies without lists name an entry where its name or alias stands in them, in whatever width and look-alike letters, between no katakana.
+    Bodies without lists name an entry where its name or alias stands in them, in whatever width and look-alike letters, between no katakana, and as ``named_freely`` finds it.
     Null ids and bodies are left out.
     """
     spark = entries.sparkSession
     given = plain_bodies(entries)
-    mapped = materialised(mapped_by_body(given, cards), "mapped")
+    refs = materialised(reference(cards), "reference")
+    mapped = materialised(mapped_by_body(given, refs), "mapped")
+    freely = named_freely(given, refs)
     written = query(
         spark,
         """
@@ -318,6 +369,7 @@ def named_otherwise(entries: DataFrame, cards: DataFrame) -> DataFrame:
         WITH named AS (
           SELECT id, body_key, name FROM {mapped} WHERE name IS NOT NULL
           UNION SELECT f.id, f.body_key, k.name FROM {free} f JOIN {by_key} k ON f.key = k.key
+          UNION SELECT id, body_key, name FROM {freely}
         ), unstored AS (
           SELECT n.id, n.name FROM named n JOIN {given} g ON n.id = g.id AND n.body_key = g.body_key JOIN {written} w ON n.name = w.name
           WHERE NOT exists(w.forms, f -> contains(g.body, f))
@@ -327,6 +379,7 @@ def named_otherwise(entries: DataFrame, cards: DataFrame) -> DataFrame:
         """,
         mapped=mapped,
         free=free,
+        freely=freely,
         by_key=by_key,
         given=given,
         written=written,

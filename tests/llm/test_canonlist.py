@@ -121,3 +121,22 @@ def test_bodies_of_one_id_are_kept_apart(spark, cards):
     assert {("a", "カフェ・ミモレ"), ("a", "ルモカ"), ("a", "?"), ("c", "ルモカ")} <= apart
     values = C.mapped_values(C.plain_bodies(df), cards)
     assert values.columns == ["id", "key", "name"] and ("a", "ルモカ", "ルモカ") in [tuple(r) for r in values.collect()]
+
+
+FREE = [
+    ("さきもりお売ります", {"サキモリオ"}),
+    ("サキもりお売ります", {"サキモリオ"}),
+    ("翠嵐団の参某の絵、好きすぎる", {"翠嵐団の参謀"}),
+    ("今日はやねうらのはつめいかだけ来ない", {"屋根裏の発明家"}),
+    ("【販売】SAKIMORIO 1枚", {"サキモリオ"}),
+    ("かふぇ・みもれ 即決", {"カフェ・ミモレ"}),
+    ("そのつもりお願いします", set()),
+    ("trade募集です、ミモザの絵、レンタルもどうぞ", set()),
+    ("サキモリオ売ります", set()),
+]
+
+
+def test_names_in_bodies_without_lists(spark, cards):
+    rows = [(str(i), b) for i, (b, _) in enumerate(FREE)]
+    got = [(r.id, r.name) for r in C.named_otherwise(spark.createDataFrame(rows, "id string, body string"), cards).collect()]
+    assert sorted(got) == sorted((str(i), n) for i, (_, want) in enumerate(FREE) for n in want)
