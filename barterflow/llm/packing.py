@@ -5,7 +5,8 @@ split. The pieces are dealt into blocks of bounded size by a hash of their docum
 block is filled by bin completion: the largest piece left opens a container, the undominated
 fillings of the room beside it are enumerated, a branch is cut where the room wasted so far
 exceeds what a better packing than the best one known could waste, and best-fit decreasing
-gives the first one known. The last containers of all blocks, which alone can be poorly
+gives the first one known. The most promising fillings are tried first, all others on the way
+back, until the search has opened as many containers as it may. The last containers of all blocks, which alone can be poorly
 filled, are then dealt into larger blocks and filled again.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from barterflow.shared import materialised
 
-#: Pieces of a block, fillings kept of a container, sizes tried while looking for them, and containers opened before a block keeps the best packing it has.
+#: Pieces of a block, fillings of a container tried before all others, sizes tried while looking for them, and containers opened (or fillings passed over) before a block keeps the best packing it has.
 BLOCK, FILLINGS, TRIES, NODES = 4096, 4, 96, 6000
 #: Kinds of containers; more are refused.
 MOST_KINDS = 1000
@@ -121,6 +123,37 @@ def fillings(stock: Stock, room: int) -> list[tuple[int, ...]]:
     return [tuple(greedy) + f for _, f in found]
 
 
+def every_filling(stock: Stock, first: int, capacity: int) -> Iterator[tuple[int, ...] | None]:
+    """All maximal fillings of a container that ``first`` opens, larger pieces first; None in place of one that isn't maximal. Reads the stock once, when the first is asked for."""
+    left = capacity - first
+    order = [s for s in reversed(stock.order) if s <= left]
+    count = [stock.count[s] - (s == first) for s in order]
+    chosen: list[int] = []
+    k = 0
+    while True:
+        while k < len(order):  # down: each size as often as it fits
+            if count[k] and order[k] <= left:
+                count[k] -= 1
+                left -= order[k]
+                chosen.append(k)
+            else:
+                k += 1
+        smallest = next((order[i] for i in range(len(order) - 1, -1, -1) if count[i]), capacity + 1)
+        yield None if smallest <= left else (first, *(order[i] for i in chosen))
+        if not chosen:
+            return
+        k = chosen.pop()  # back: without the last one and its like
+        count[k] += 1
+        left += order[k]
+        k += 1
+
+
+def others(tried: list[tuple[int, ...]], found: Iterator[tuple[int, ...] | None]) -> Iterator[tuple[int, ...] | None]:
+    """``found``, with None in place of what one of ``tried`` dominates."""
+    for f in found:
+        yield None if f is None or any(dominates(t[1:], f[1:]) for t in tried) else f
+
+
 def complete(sizes: list[int], capacity: int) -> list[list[int]]:
     """Indices of the pieces of each container; every piece in exactly one. At best as many containers as the sizes' sum needs."""
     known = best_fit(sizes, capacity)
@@ -129,7 +162,7 @@ def complete(sizes: list[int], capacity: int) -> list[list[int]]:
     if len(known) == least:
         return known
     stock = Stock(sizes)
-    path: list[tuple[tuple[int, ...], list[tuple[int, ...]]]] = []  # filling in force, fillings still to try
+    path: list[tuple[tuple[int, ...], Iterator[tuple[int, ...] | None]]] = []  # filling in force, fillings still to try
     waste, nodes, best = 0, 0, None
     going = True
     while going:
@@ -139,27 +172,31 @@ def complete(sizes: list[int], capacity: int) -> list[list[int]]:
             best = [f for f, _ in path]
             if len(best) == least or nodes >= NODES:
                 break
-            options: list[tuple[int, ...]] = []
+            options: Iterator[tuple[int, ...] | None] = iter(())
         elif waste > allowed:
-            options = []
+            options = iter(())
         else:
             nodes += 1
             first = stock.order[-1]
             stock.take(first)
-            options = [(first, *f) for f in fillings(stock, capacity - first)]
+            likely = [(first, *f) for f in fillings(stock, capacity - first)]
             stock.put(first)
-            if nodes >= NODES * 2:
-                options = options[:1]
+            options = iter(likely[:1]) if nodes >= NODES * 2 else chain(likely, others(likely, every_filling(stock, first, capacity)))
         while True:
-            if options:
-                now, *rest = options
-                if waste + capacity - sum(now) <= allowed:
-                    for s in now:
-                        stock.take(s)
-                    waste += capacity - sum(now)
-                    path.append((now, rest))
+            now = None
+            for now in options:
+                if now is not None and waste + capacity - sum(now) <= allowed:
                     break
-                options = []
+                now = None
+                nodes += 1
+                if nodes >= NODES * 2:
+                    break
+            if now is not None:
+                for s in now:
+                    stock.take(s)
+                waste += capacity - sum(now)
+                path.append((now, options))
+                break
             if not path or nodes >= NODES * 2:
                 going = False
                 break

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import pytest
@@ -91,3 +91,31 @@ def test_every_token_once(spark, monkeypatch):
 def test_empty(spark):
     kinds = spark.createDataFrame([(1, "t", 32)], KINDS)
     assert packing.packed(spark.createDataFrame([], SIZES), kinds).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_fewest_containers_whichever_filling_is_tried_first(monkeypatch, seed):
+    """Fillings beyond the ones tried first aren't given up."""
+    monkeypatch.setattr(packing, "FILLINGS", 1)
+    monkeypatch.setattr(packing, "TRIES", 1)
+    rng = random.Random(seed)
+    for _ in range(20):
+        capacity = rng.choice([20, 30, 50])
+        sizes = sorted((rng.randint(2, capacity * 2 // 3) for _ in range(rng.randint(6, 10))), reverse=True)
+        got = packing.complete(list(sizes), capacity)
+        assert sorted(i for b in got for i in b) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in b) <= capacity for b in got)
+        assert len(got) == fewest(tuple(sizes), capacity)
+
+
+def test_every_filling_is_found():
+    from itertools import combinations
+
+    for seed in range(40):
+        rng = random.Random(seed)
+        sizes = sorted((rng.randint(1, 9) for _ in range(8)), reverse=True)
+        rest, room = sizes[1:], 20 - sizes[0]
+        fits = {c for n in range(8) for c in combinations(rest, n) if sum(c) <= room}
+        want = {c for c in fits if not any(len(d) == len(c) + 1 and not (Counter(c) - Counter(d)) for d in fits)}
+        got = [f for f in packing.every_filling(packing.Stock(sizes), sizes[0], 20) if f is not None]
+        assert len(got) == len(set(got)) and {f[1:] for f in got} == want
