@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,15 +140,16 @@ class SeenState:
         return new
 
 
-def surplus_copies(rows: DataFrame, id_col: str, order: list[str], row_id: str, state: SeenState | None = None) -> DataFrame:
+def surplus_copies(rows: DataFrame, id_col: str, order: list[str], row_id: str, state: SeenState | None = None, batches: list[DataFrame] | None = None) -> DataFrame:
     """Row ids of every arrival that is a surplus copy: its identifier was seen in the state, or another arrival of it was selected.
 
     Rows whose identifier is null or blank are no copies. ``row_id`` must be unique; the
-    anti-join is on it, so a hot identifier is no hot key there.
+    anti-join is on it, so a hot identifier is no hot key there. ``batches``: the rows in parts
+    that follow each other by ``order``, ingested one after another; without them, in one.
     """
     if state is None:
         state = SeenState(rows.sparkSession, fresh_path(rows.sparkSession, "seen"))
         delete_at_end(rows.sparkSession, state.path)
-    kept = state.ingest(rows, id_col, order, row_id)
+    kept = reduce(DataFrame.unionByName, [state.ingest(b, id_col, order, row_id) for b in batches or [rows]])
     candidates = rows.where(number_key(id_col).isNotNull()).select(row_id)
     return candidates.join(kept, row_id, "left_anti")

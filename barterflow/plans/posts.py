@@ -12,6 +12,9 @@ from barterflow.operators.arrivals import first_arrivals, surplus_copies
 from barterflow.operators.trailing import dense_daily, trailing_totals
 from barterflow.shared import materialised
 
+#: Parts in which p3_found hands the posts to the state.
+BATCHES = 4
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,8 +30,20 @@ def kept_posts(posts: DataFrame, payload: list[Column]) -> DataFrame:
     return first_arrivals(posts, number_key("id"), [F.col("collected_at"), F.col("hit_id")], payload)
 
 
+def by_time(rows: DataFrame, time: str) -> list[DataFrame]:
+    """The rows in about BATCHES parts of like size, each later than the one before; rows without a time come last."""
+    cuts = rows.agg(F.percentile_approx(time, [i / BATCHES for i in range(1, BATCHES)], 1000)).first()[0]
+    cuts = sorted(set(cuts or []))
+    t, out = F.col(time), []
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        late = F.lit(True) if lo is None else t >= lo
+        out.append(rows.where(late & (t < hi)) if hi is not None else rows.where(late | t.isNull()))
+    return out
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surplus_copies(table(spark, sf_dir, "posts"), "id", ["collected_at"], "hit_id")
+    posts = table(spark, sf_dir, "posts")
+    return surplus_copies(posts, "id", ["collected_at"], "hit_id", batches=by_time(posts, "collected_at"))
 
 
 def mentions(demand: str = "demand", supply: str = "supply") -> Column:

@@ -83,3 +83,19 @@ def test_posts_queries_on_empty_and_dirty_tables(spark, tmp_path):
         cards.write.parquet(f"{d}/cards.parquet")
         assert posts.p4_totals(spark, d).count() == 0 and posts.p4_found(spark, d).count() == 0
         assert [r.hit_id for r in posts.p3_found(spark, d).collect()] == ([2] if rows else [])
+
+
+def test_p3_found_selects_by_the_bits_of_earlier_batches(spark, tmp_path, monkeypatch):
+    from datetime import datetime
+
+    from barterflow.plans import posts
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, " ", *[str(rng.randrange(40)) for _ in range(8)], f"0{rng.randrange(40)}"]), rng.choice([None, *range(12)]), None) for i in range(400)]
+    at = lambda m: m if m is None else datetime(2026, 1, 1, 0, m)
+    spark.createDataFrame([(i, k, at(m)) for i, k, m, _ in rows], "hit_id bigint, id string, collected_at timestamp").write.parquet(f"{tmp_path}/posts.parquet")
+    states = []
+    init = SeenState.__init__
+    monkeypatch.setattr(SeenState, "__init__", lambda self, *a: (states.append(self), init(self, *a))[1])
+    assert {r.hit_id for r in posts.p3_found(spark, str(tmp_path)).collect()} == by_hand(rows)
+    assert states[0].version() == posts.BATCHES
