@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barterflow.functions.ids import number_key, sequence_millis
+from barterflow.functions.ids import sequence_millis
 
 #: What counts as white space at the ends of a text and between words of a pattern (a Java character class body).
 SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -107,22 +107,26 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s), na_action="ignore")
 
 
+#: Frequent misreadings, signs that stand for others, and blanks inside Japanese text, each a pattern and what stands for it.
+MISREAD = (
+    ("[カ力][一ー―−-]ド", "カード"),
+    ("欲し[ぃい]", "欲しい"),
+    ("出せ[るろ]", "出せる"),
+    ("譲れ[るろ]", "譲れる"),
+    ("[｜|¦]", " "),
+    ("[：﹕]", ":"),
+    ("／", "/"),
+    ("[・•●]", " "),
+    (rf"([{NAME_CHARS}])[ \t]+(?=[{NAME_CHARS}])", "$1"),
+    (r"\n[ \t]+", "\n"),
+    (r"[ \t]{2,}", " "),
+)
+
+
 def ocr_text(plain: Column | str) -> Column:
     """Text read from an image, already NFKC: frequent misreadings mended, bars and bullets as blanks, no blanks between Japanese characters."""
     x = col(plain)
-    for pattern, to in (
-        ("[カ力][一ー―−-]ド", "カード"),
-        ("欲し[ぃい]", "欲しい"),
-        ("出せ[るろ]", "出せる"),
-        ("譲れ[るろ]", "譲れる"),
-        ("[｜|¦]", " "),
-        ("[：﹕]", ":"),
-        ("／", "/"),
-        ("[・•●]", " "),
-        (rf"([{NAME_CHARS}])[ \t]+(?=[{NAME_CHARS}])", "$1"),
-        (r"\n[ \t]+", "\n"),
-        (r"[ \t]{2,}", " "),
-    ):
+    for pattern, to in MISREAD:
         x = F.regexp_replace(x, pattern, to)
     return clean_text(x)
 
@@ -166,6 +170,3 @@ def likely_trade_image(body: Column | str, urls: Column | str, words: Sequence[s
     both = b.rlike(f"(?i)({'|'.join(words)})") & b.rlike(f"(?i)({'|'.join(other_words)})")
     return both | F.coalesce(F.exists(col(urls), lambda u: u.rlike(f"(?i){'|'.join(re.escape(h) for h in hosts)}")), F.lit(False))
 
-
-def is_number(c: Column | str) -> Column:
-    return number_key(c).rlike(r"\A[0-9]+\z")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barterflow.functions.numeric import clamp
 from barterflow.functions.text import digits, nfkc, title_text, title_tokens
+from barterflow.operators.pigeonhole import within_edits
 
 #: Thresholds by length of the title: gap and edits allowed from LONG on and below, least score from a length on.
 LONG, LEAST_SCORES, AMBIGUOUS = 10, ((10, 0.86), (6, 0.88), (0, 0.80)), 0.08
@@ -22,18 +22,17 @@ def title_variants(cards: DataFrame, aliases: DataFrame) -> DataFrame:
 def title_matches(passes: DataFrame, variants: DataFrame) -> DataFrame:
     """cell_id, pass, canonical, exact, distance, score, confidence: the best title of each reading; no row where none fits or two fit alike.
 
-    ``passes``: cell_id, pass, text, confidence. Equal titles meet by equality; the rest by length (the
-    gap allowed is two at most) before any distance is computed, each distinct token once.
+    ``passes``: cell_id, pass, text, confidence. Equal titles meet by equality; the rest by a part they share unchanged,
+    before any distance is computed, each distinct token once.
     """
     read = passes.select("cell_id", "pass", F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"), F.explode(title_tokens(nfkc("text"))).alias("token")).where(F.length("token") >= 2)
     tokens = read.select("token").distinct()
     v = variants.select("normalized", "canonical", F.length("normalized").alias("len"))
     exact = tokens.join(v, tokens.token == v.normalized).select("token", "canonical", "len", F.lit(True).alias("exact"), F.lit(0).alias("distance"), F.lit(1.0).alias("score"))
-    gap = F.when(F.col("len") >= LONG, 2).otherwise(1)
-    near = v.where("len > 3").withColumn("token_len", F.explode(F.sequence(F.col("len") - gap, F.col("len") + gap)))
-    fuzzy = tokens.withColumn("token_len", F.length("token")).join(near, "token_len").where("token <> normalized")
-    fuzzy = fuzzy.withColumn("distance", F.levenshtein("token", "normalized", 2)).where((F.col("distance") >= 0) & (F.col("distance") <= gap))
-    fuzzy = fuzzy.withColumn("score", 1 - F.col("distance") / F.greatest("token_len", "len"))
+    # titles of up to three characters allow no edit
+    met = within_edits(tokens.select(F.col("token").alias("value")), v.where("len > 3").select(F.col("normalized").alias("ref")).distinct(), [(LONG - 1, 1), (None, 2)])
+    fuzzy = met.where("distance > 0").join(v, F.col("ref") == F.col("normalized")).select(F.col("value").alias("token"), "canonical", "len", "distance")
+    fuzzy = fuzzy.withColumn("score", 1 - F.col("distance") / F.greatest(F.length("token"), "len"))
     least = F.when(F.col("len") >= LEAST_SCORES[0][0], LEAST_SCORES[0][1]).when(F.col("len") >= LEAST_SCORES[1][0], LEAST_SCORES[1][1]).otherwise(LEAST_SCORES[2][1])
     fuzzy = fuzzy.where(F.col("score") >= least).select("token", "canonical", "len", F.lit(False).alias("exact"), "distance", "score")
     met = read.join(exact.unionByName(fuzzy), "token")
@@ -46,9 +45,9 @@ def title_matches(passes: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def voted(matches: DataFrame) -> DataFrame:
-    """cell_id, canonical, votes, exact_votes, avg_score, avg_confidence, best_distance."""
+    """cell_id, canonical, votes, exact_votes, avg_score, avg_confidence (to twelve decimals, whatever the order of adding up), best_distance."""
     return matches.groupBy("cell_id", "canonical").agg(
-        F.count("*").alias("votes"), F.count_if("exact").alias("exact_votes"), F.avg("score").alias("avg_score"), F.avg("confidence").alias("avg_confidence"), F.min("distance").alias("best_distance")
+        F.count("*").alias("votes"), F.count_if("exact").alias("exact_votes"), F.round(F.avg("score"), 12).alias("avg_score"), F.round(F.avg("confidence"), 12).alias("avg_confidence"), F.min("distance").alias("best_distance")
     )
 
 
@@ -108,6 +107,3 @@ def runs(rows: DataFrame, group: str, at: str, score: str, least_score: float =
     out = island.groupBy(group, "__i").agg(F.min(at).alias("start"), F.max(at).alias("end"), F.avg(score).alias("score"), F.count("*").alias("__n"))
     return out.where(F.col("__n") >= least_rows).select(group, "start", "end", "score")
 
-
-def confidence(score: Column) -> Column:
-    return clamp(score / 1.5, 0.0, 1.0)

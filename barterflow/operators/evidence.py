@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barterflow.operators.extract import image_text, one_sided_text
 from barterflow.operators.multiset import counts, merged, union_by_max
-
+from barterflow.shared import materialised
 
 
 def _none():
@@ -94,20 +94,41 @@ def recognised(urls: DataFrame, cache: DataFrame, recognise: Callable[[DataFrame
     """All known recognitions of the urls, and the cache as it is then: what is fresh is reused, the rest recognised.
 
     ``recognise`` maps urls to rows of the cache's columns but checked_at and cache_version. ``most_new`` is the run's
-    budget of images (None: no budget); urls beyond it are simply not known yet and come in the next run.
+    budget of images (None: no budget); urls beyond it are simply not known yet and come in the next run. What was
+    recognised is written once, so an image is read once however often the results are.
     """
     kept = fresh(cache, now, version, hours)
     todo = to_recognise(urls, kept)
     if most_new is not None:
         todo = todo.orderBy("url").limit(most_new)
     made = recognise(todo).withColumns({"checked_at": F.lit(now).cast("timestamp"), "cache_version": F.lit(version)})
-    after = kept.unionByName(made.select(*kept.columns))
+    after = kept.unionByName(materialised(made.select(*kept.columns), "recognised"))
     return after.join(urls.select("url").distinct(), "url", "left_semi"), after
 
 
 def image_statistics(recognised: DataFrame) -> DataFrame:
-    """One row of counts over recognised images: images, layout, explicit, with_demand, with_supply, passes."""
-    passes = F.sum("passes") if "passes" in recognised.columns else F.lit(None).cast("bigint")
+    """One row of counts over recognised images: images, layout, explicit, with_demand, with_supply, passes, failed, new_images, cache_hits, millis.
+
+    ``failed`` needs a column error, ``new_images`` and ``cache_hits`` a column reused, ``passes`` and ``millis`` columns of
+    these names; without the column the count is null. An empty table gives 0 for all that can be counted.
+    """
+    has = set(recognised.columns)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint") if c in has else F.lit(None).cast("bigint")
+    count = lambda c, x: F.count_if(x) if c in has else F.lit(None).cast("bigint")
     return recognised.agg(
-        F.count("*").alias("images"), F.count_if("layout").alias("layout"), F.count_if("explicit").alias("explicit"), F.count_if(F.size("demand") > 0).alias("with_demand"), F.count_if(F.size("supply") > 0).alias("with_supply"), passes.alias("passes")
-    )
+        F.count("*").alias("images"), F.count_if("layout").alias("layout"), F.count_if("explicit").alias("explicit"), F.count_if(F.size("demand") > 0).alias("with_demand"), F.count_if(F.size("supply") > 0).alias("with_supply"),
+        total("passes").alias("passes"), count("error", F.expr("error IS NOT NULL")).alias("failed"), count("reused", F.expr("NOT coalesce(reused, false)")).alias("new_images"), count("reused", F.expr("coalesce(reused, false)")).alias("cache_hits"), total("millis").alias("millis"),
+    )
+
+
+def cell_statistics(cells: DataFrame) -> DataFrame:
+    """One row of counts over the cells of known layouts: cells, images, matched, verified, rejected_rarity, strong, agreed, conflict, uncertain.
+
+    ``cells``: url, card (null: none), verified (the badge), reason (of ``visual_decision``). A cell counts as matched
+    with a card and a verified badge, as rejected with a card whose badge isn't verified.
+    """
+    ok, card = F.coalesce("verified", F.lit(False)), F.col("card").isNotNull()
+    return cells.agg(
+        F.count("*").alias("cells"), F.count_distinct("url").alias("images"), F.count_if(card & ok).alias("matched"), F.count_if(ok).alias("verified"), F.count_if(card & ~ok).alias("rejected_rarity"),
+        *[F.count_if(F.col("reason") == r).alias(n) for n, r in (("strong", "image-strong"), ("agreed", "image+ocr"), ("conflict", "image-ocr-conflict"), ("uncertain", "image-not-confident"))],
+    )

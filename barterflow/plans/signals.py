@@ -11,6 +11,7 @@ from barterflow.functions.ids import sequence_millis
 from barterflow.functions.text import STATUS_EPOCH_MS, author, clean_text, entry_time, entry_url, status_id, strip_highlight
 from barterflow.operators import catalogue, consensus, fingerprint, multiset, ranking, store
 from barterflow.operators.extract import BODY_MARK, body_text, segments
+from barterflow.operators.pigeonhole import within_edits
 from barterflow.plans.posts import card_names, mentions, table
 from barterflow.sources import pages
 from barterflow.sources.files import dictionary
@@ -64,10 +65,10 @@ def retained(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bag_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Copies of each id after the union of what two groups of runs collected."""
+    """Copies of each id after the union of what two overlapping groups of runs collected: rows of every third run, and of no known run, are in both."""
     posts = table(spark, sf_dir, "posts")
-    even = F.col("run_id") % 2 == 0
-    return store.united(posts.where(even), posts.where(~even), NOW).groupBy("id").agg(F.count("*").alias("copies"))
+    third = (F.col("run_id") % 3 == 0) | F.col("run_id").isNull()
+    return store.united(posts.where(third | (F.col("run_id") % 2 == 0)), posts.where(third | (F.col("run_id") % 2 != 0)), NOW).groupBy("id").agg(F.count("*").alias("copies"))
 
 
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +121,8 @@ def query_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backfill_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    jobs = pages.paging(table(spark, sf_dir, "timelines"), SINCE, MOST_PAGES).withColumn("failed", F.lit(False))
+    """A job is a query of a run; of those without a search or a run, and of every seventh run, it counts as failed."""
+    jobs = pages.paging(table(spark, sf_dir, "timelines"), SINCE, MOST_PAGES).withColumn("failed", F.col("query").isNull() | F.col("run_id").isNull() | (F.col("run_id") % 7 == 0))
     return pages.backfill_summary(jobs).withColumn("oldest", F.unix_millis("oldest")).withColumnRenamed("oldest", "oldest_ms")
 
 
@@ -159,7 +161,9 @@ def body_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parsed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the accepted entries want and offer."""
     names, aliases = dictionary(table(spark, sf_dir, "cards"))
-    return pages.accepted(pages.parsed_entries(_entries(spark, sf_dir), names, aliases)).select("page_id", "pos", "id", "created_at", "url", "author", "demand", "supply")
+    out = pages.accepted(pages.parsed_entries(_entries(spark, sf_dir), names, aliases))
+    lists = [F.array_join(F.array_sort(c), "|").alias(c) for c in ("demand", "supply")]
+    return out.select("page_id", F.col("pos").cast("bigint").alias("pos"), "id", F.unix_millis("created_at").alias("ms"), "url", "author", *lists)
 
 
 def title_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,20 +175,24 @@ def title_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names in the lists that the dictionary doesn't have, with its names at most six edits away (lengths first, then the distance)."""
+    """Names in the lists that the dictionary doesn't have, with its names at most six edits away."""
     posts = table(spark, sf_dir, "posts")
     cards = card_names(spark, sf_dir)
     other = posts.select(F.explode(mentions()).alias("other")).where("other <> ''").distinct().join(cards.select(F.col("name").alias("other")), "other", "left_anti")
-    near = cards.withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.length("name") - 6), F.length("name") + 6)))
-    met = other.withColumn("len", F.length("other")).join(near, "len").withColumn("distance", F.levenshtein("other", "name", 6))
-    return met.where("distance >= 0").select("other", "name", F.col("distance").cast("bigint").alias("distance"))
+    met = within_edits(other.withColumnRenamed("other", "value"), cards.withColumnRenamed("name", "ref"), [(None, 6)])
+    return met.select(F.col("value").alias("other"), F.col("ref").alias("name"), F.col("distance").cast("bigint").alias("distance"))
+
+
+def label_means(v: DataFrame) -> DataFrame:
+    """ref, v: the mean vector of each label."""
+    means = v.where("label IS NOT NULL").select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg("col").alias("x"))
+    return means.groupBy(F.col("label").cast("bigint").alias("ref")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
 
 
 def vector_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two labels whose mean vector each vector correlates with most."""
     v = table(spark, sf_dir, "embeddings")
-    means = v.where("label IS NOT NULL").select("label", F.posexplode("embedding")).groupBy("label", "pos").agg(F.avg("col").alias("x")).groupBy(F.col("label").cast("bigint").alias("ref")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("v"))
-    ranked = fingerprint.nearest_vectors(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), means)
+    ranked = fingerprint.nearest_vectors(v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), label_means(v))
     return ranked.select("id", "rank", "ref", F.round("score", 5).alias("score"))
 
 

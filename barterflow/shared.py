@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Path named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests, one machine)."""
+    """Path named by ``spark.checkpoint.dir``; a temporary one only where it is unset and all tasks run in this process (tests)."""
     sc = spark.sparkContext
     path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError(f"master {sc.master}: name a folder that all executors share in spark.checkpoint.dir")
     own = getattr(sc, "_barterflow_shared", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="barterflow-")

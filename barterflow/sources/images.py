@@ -8,6 +8,7 @@ output is in barterflow.operators.consensus, fingerprint and evidence.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
@@ -33,34 +34,31 @@ class Recogniser(Protocol):
     def __call__(self, content: bytes) -> list[tuple[int, str, float, bool]]: ...
 
 
+def _leaves(value: object, key: str = "", depth: int = 0) -> Iterator[tuple[str, str]]:
+    """(nearest key, text) of every text in a document, down to DEEPEST levels."""
+    if isinstance(value, str):
+        yield key, value
+    elif depth < DEEPEST and isinstance(value, dict | list):
+        for k, x in value.items() if isinstance(value, dict) else ((key, x) for x in value):
+            yield from _leaves(x, k, depth + 1)
+
+
+def _full_size(url: str) -> str:
+    """The link to the largest version, on the host that keeps several."""
+    u = urlsplit(url)
+    query = dict(parse_qsl(u.query))
+    return urlunsplit(u._replace(query=urlencode(query | {"name": "orig"}))) if u.hostname == FULL_SIZE_HOST and query.get("format") else url
+
+
 def image_links(document: str | None) -> list[str]:
     """Distinct image links anywhere in a JSON document, down to a depth; [] for null and for what isn't JSON."""
     try:
-        value = json.loads(document) if document else None
+        leaves = list(_leaves(json.loads(document))) if document else []
     except ValueError:
         return []
-    out: dict[str, None] = {}
-
-    def visit(v: object, key: str, depth: int) -> None:
-        if depth > DEEPEST or v is None:
-            return
-        if isinstance(v, str):
-            s = v.replace("\\u002F", "/").replace("&amp;", "&")
-            if s[:8].lower().startswith(("http://", "https://")) and (FILE.search(s) or HOST.search(s) or KEY.search(key)):
-                u = urlsplit(s)
-                query = dict(parse_qsl(u.query))
-                if u.hostname == FULL_SIZE_HOST and query.get("format"):
-                    s = urlunsplit(u._replace(query=urlencode(query | {"name": "orig"})))
-                out[s] = None
-        elif isinstance(v, list):
-            for x in v:
-                visit(x, key, depth + 1)
-        elif isinstance(v, dict):
-            for k, x in v.items():
-                visit(x, k, depth + 1)
-
-    visit(value, "", 0)
-    return list(out)
+    links = [(k, s.replace("\\u002F", "/").replace("&amp;", "&")) for k, s in leaves]
+    links = [(k, s) for k, s in links if s[:8].lower().startswith(("http://", "https://"))]
+    return list(dict.fromkeys(_full_size(s) for k, s in links if FILE.search(s) or HOST.search(s) or KEY.search(k)))
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -115,18 +113,30 @@ def pixel_fingerprint(pixels: np.ndarray, shrink: Callable[[np.ndarray, int, int
     return to(shrink(gray[..., None], 24, 24)), to(shrink(crop, 12, 12))
 
 
-def readings(images: DataFrame, recogniser: Callable[[], Recogniser]) -> DataFrame:
-    """path, pass, text, confidence, layout of each image; the recogniser is made once a task. An image it fails on has one row of nulls."""
+READING = "path string, `pass` int, text string, confidence double, layout boolean, error string"
+
+
+def readings(images: DataFrame, recogniser: Callable[[], Recogniser], task_seconds: float | None = None) -> DataFrame:
+    """path, pass, text, confidence, layout, error of each image; the recogniser is made once a task.
+
+    An image it fails on has one row of nulls with the error's kind and text; so has one that a task reaches after
+    ``task_seconds`` of recognition, with 'budget' (None: no budget). A recogniser that cannot be made fails the task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = recogniser()
+        read, began = recogniser(), time.monotonic()
         for batch in batches:
             rows = []
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if task_seconds is not None and time.monotonic() - began > task_seconds:
+                    rows.append((path, None, None, None, None, "budget"))
+                    continue
                 try:
-                    rows += [(path, *x) for x in read(content)]
-                except Exception:
-                    rows.append((path, None, None, None, None))
-            yield pa.RecordBatch.from_pylist([dict(zip(("path", "pass", "text", "confidence", "layout"), r)) for r in rows], schema=pa.schema([("path", pa.string()), ("pass", pa.int32()), ("text", pa.string()), ("confidence", pa.float64()), ("layout", pa.bool_())]))
-
-    return images.select("path", "content").mapInArrow(run, "path string, `pass` int, text string, confidence double, layout boolean")
+                    rows += [(path, *x, None) for x in read(content)]
+                except Exception as e:
+                    rows.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
+            columns = zip(*rows) if rows else [()] * 6
+            types = (pa.string(), pa.int32(), pa.string(), pa.float64(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["path", "pass", "text", "confidence", "layout", "error"])
+
+    return images.select("path", "content").mapInArrow(run, READING)

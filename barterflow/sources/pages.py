@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Sequence
 from datetime import datetime
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,9 +19,11 @@ from barterflow.functions.text import entry_time, entry_url, strip_highlight
 from barterflow.operators.extract import BODY_MARK, body_text, segments, two_sided
 from barterflow.operators.store import first_wins, last_wins
 
-ENTRY = "struct<id:string,url:string,screenName:string,createdAt:bigint,displayTextBody:string>"
+ENTRY = "struct<id:string,url:string,screenName:string,createdAt:bigint,displayTextBody:string,text:string>"
 PAGE = f"page_id bigint, query string, run_id bigint, fetched_at timestamp, timeline struct<head:struct<oldestTweetId:string>,entry:array<{ENTRY}>>"
 MOST_RESULTS = 40
+#: Pages a run and a day may read.
+PAGES_A_RUN, PAGES_A_DAY = 12, 72
 
 
 class AccessBlocked(Exception):
@@ -52,22 +54,33 @@ def fetched(source: PageSource, query: str, cursor: str | None = None, results:
 
 
 def entries(pages: DataFrame) -> DataFrame:
-    """page_id, query, run_id, fetched_at, pos and the fields of each entry; pages without entries have no row."""
+    """page_id, query, run_id, fetched_at, pos and the fields of each entry; pages without entries have no row.
+
+    An entry's body is its displayTextBody, else its text where entries have such a field.
+    """
+    fields = pages.schema["timeline"].dataType["entry"].dataType.elementType.names
+    body = F.coalesce(*[F.col(f"e.{c}") for c in ("displayTextBody", "text") if c in fields])
     keys = [c for c in ("page_id", "query", "run_id", "fetched_at") if c in pages.columns]
     e = pages.select(*keys, F.posexplode("timeline.entry").alias("pos", "e")).where("e IS NOT NULL")
-    return e.select(*keys, "pos", F.col("e.id").alias("id"), F.col("e.url").alias("url"), F.col("e.screenName").alias("screen_name"), F.col("e.createdAt").alias("created_raw"), F.col("e.displayTextBody").alias("body"))
+    return e.select(*keys, "pos", F.col("e.id").alias("id"), F.col("e.url").alias("url"), F.col("e.screenName").alias("screen_name"), F.col("e.createdAt").alias("created_raw"), body.alias("body"))
 
 
-def cursors(pages: DataFrame) -> DataFrame:
-    """page_id, query, run_id, entries, next_cursor: the head's cursor, else the last entry's id, else null."""
+def cursors(pages: DataFrame, *more: Column | str) -> DataFrame:
+    """page_id, query, run_id, entries, next_cursor: the head's cursor, else the last entry's id, else null; and ``more`` of the page."""
     entry = F.col("timeline.entry")
     last = F.when(F.size(entry) > 0, F.element_at(entry, -1)["id"])
     head = F.nullif(F.col("timeline.head.oldestTweetId"), F.lit(""))
-    return pages.select("page_id", "query", "run_id", F.coalesce(F.when(entry.isNotNull(), F.size(entry)), F.lit(0)).alias("entries"), F.coalesce(head, F.nullif(last, F.lit(""))).alias("next_cursor"))
+    return pages.select("page_id", "query", "run_id", F.coalesce(F.when(entry.isNotNull(), F.size(entry)), F.lit(0)).alias("entries"), F.coalesce(head, F.nullif(last, F.lit(""))).alias("next_cursor"), *more)
+
 
+def parsed_entries(found: DataFrame, names: Sequence[str], aliases: Sequence[tuple[str, str]], rejected: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Entries with body cleaned, created_at, url, author, demand, supply, explicit; those without id or time are left out.
 
-def parsed_entries(found: DataFrame, names: Sequence[str], aliases: Sequence[tuple[str, str]]) -> DataFrame:
-    """Entries with body cleaned, created_at, url, author, demand, supply, explicit; those without id or time are left out."""
+    ``rejected``: whether a body as it came (without highlight marks) counts for nothing; such entries are left out before
+    anything is parsed or recognised.
+    """
+    if rejected is not None:
+        found = found.where(~F.coalesce(rejected(strip_highlight(F.coalesce("body", F.lit("")))), F.lit(False)))
     e = found.where("id <> ''").withColumn("created_at", entry_time("created_raw", "id")).where("created_at IS NOT NULL")
     e = e.withColumn("body", strip_highlight(F.coalesce("body", F.lit("")))).withColumn("link", entry_url("url", "screen_name", "id"))
     rest = [c for c in e.columns if c not in ("url", "link", "screen_name", "created_raw")]
@@ -88,8 +101,9 @@ def latest_by_id(rows: DataFrame) -> DataFrame:
 
 
 def reused(found: DataFrame, known: DataFrame, rejected: str) -> DataFrame:
-    """Entries with the demand and supply of the first known post of their id, unless column ``rejected`` says their text may not be reused; ``reused`` tells."""
-    memo = first_wins(known.select("id", "demand", "supply", "created_at"), ["id"], [F.col("created_at")]).select("id", F.col("demand").alias("known_demand"), F.col("supply").alias("known_supply"), F.lit(True).alias("known"))
+    """Entries with the demand and supply of the first known post of their id (by time, then column seq if there, else the lists), unless column ``rejected`` says their text may not be reused; ``reused`` tells."""
+    seq = ["seq"] if "seq" in known.columns else []
+    memo = first_wins(known.select("id", "demand", "supply", "created_at", *seq), ["id"], [F.col("created_at").isNull(), F.col("created_at"), *map(F.col, seq or ["demand", "supply"])]).select("id", F.col("demand").alias("known_demand"), F.col("supply").alias("known_supply"), F.lit(True).alias("known"))
     return found.join(memo, "id", "left").withColumn("reused", F.coalesce("known", F.lit(False)) & ~F.coalesce(rejected, F.lit(False))).drop("known")
 
 
@@ -99,9 +113,9 @@ def paging(pages: DataFrame, since: datetime, most_pages: int) -> DataFrame:
     Pages are taken in order of fetching until one reaches back to ``since`` (the cutoff) or has no
     entries or no new cursor (exhausted), and ``most_pages`` at most (capped).
     """
-    each = cursors(pages).join(pages.select("page_id", "fetched_at"), "page_id")
-    oldest = entries(pages).withColumn("at", entry_time("created_raw", "id")).groupBy("page_id").agg(F.min("at").alias("page_oldest"))
-    each = each.join(oldest, "page_id", "left")
+    # the oldest time of a page's own entries: read off the array in the scan, nothing is unfolded or joined
+    times = F.transform(F.filter("timeline.entry", lambda e: e.isNotNull()), lambda e: entry_time(e["createdAt"], e["id"]))
+    each = cursors(pages, "fetched_at", F.array_min(times).alias("page_oldest"))
     w = Window.partitionBy("query", "run_id").orderBy("fetched_at", "page_id")
     cut = F.coalesce(F.col("page_oldest") <= F.lit(since).cast("timestamp"), F.lit(False))
     repeated = F.col("next_cursor").eqNullSafe(F.lag("next_cursor").over(w))
@@ -145,8 +159,11 @@ def allocated(quota_run: int, quota_day: int, queries: int, most_pages: int) ->
     return out
 
 
-def collected(source: PageSource, queries: Iterable[str], most_pages: int, since_ms: float = -math.inf, times: Callable[[dict], Sequence[float]] = lambda page: []) -> list[dict]:
-    """Pages of each query from a source, newest first, until the cutoff, the end or the cap; a refusal ends all queries."""
+def collected(source: PageSource, queries: Iterable[str], most_pages: int, since_ms: float = -math.inf, times: Callable[[dict], Sequence[float]] = lambda page: [], refuse: bool = False) -> list[dict]:
+    """Pages of each query from a source, newest first, until the cutoff, the end or the cap; a refusal ends all queries, or with ``refuse`` is raised.
+
+    ``last`` tells whether a page had no entries or no new cursor.
+    """
     out: list[dict] = []
     for query in queries:
         cursor = None
@@ -154,13 +171,40 @@ def collected(source: PageSource, queries: Iterable[str], most_pages: int, since
             try:
                 page = fetched(source, query, cursor)
             except AccessBlocked:
+                if refuse:
+                    raise
                 return out
-            out.append({"query": query, "page": page})
             timeline = page.get("timeline") or {}
             found = timeline.get("entry") or []
             at = list(times(page))
             nxt = (timeline.get("head") or {}).get("oldestTweetId") or (found[-1].get("id") if found else None)
-            if (at and min(at) <= since_ms) or not found or not nxt or nxt == cursor:
+            last = not found or not nxt or str(nxt) == cursor
+            out.append({"query": query, "page": page, "last": last})
+            if (at and min(at) <= since_ms) or last:
                 break
             cursor = str(nxt)
     return out
+
+
+def backfilled(source: PageSource, jobs: Iterable[tuple[str, int]], since_ms: float = -math.inf, times: Callable[[dict], Sequence[float]] = lambda page: [], wait: Callable[[], None] = lambda: None) -> tuple[list[dict], list[dict]]:
+    """Pages of each job (query, most pages) and a row a job: query, pages, total_entries, oldest_ms, reached_cutoff, exhausted, capped, failed, error.
+
+    A job that fails is recorded with its error and what it read is dropped; the next one goes on. Jobs are few and
+    fetched one after another, so both lists are the driver's.
+    """
+    read: list[dict] = []
+    jobs_done: list[dict] = []
+    for query, most in jobs:
+        try:
+            found = collected(source, [query], most, since_ms, times, refuse=True)
+        except Exception as e:
+            jobs_done.append({"query": query, "pages": 0, "total_entries": 0, "oldest_ms": None, "reached_cutoff": False, "exhausted": False, "capped": False, "failed": True, "error": f"{type(e).__name__}: {e}"})
+        else:
+            read += found
+            at = [t for p in found for t in times(p["page"])]
+            cut = bool(at) and min(at) <= since_ms
+            spent = not cut and found[-1]["last"] if found else False
+            entries_of = [len((p["page"].get("timeline") or {}).get("entry") or []) for p in found]
+            jobs_done.append({"query": query, "pages": len(found), "total_entries": sum(entries_of), "oldest_ms": min(at, default=None), "reached_cutoff": cut, "exhausted": spent, "capped": not cut and not spent and len(found) >= most, "failed": False, "error": None})
+        wait()
+    return read, jobs_done
