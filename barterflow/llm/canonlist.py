@@ -1,32 +1,29 @@
 """Freely typed values mapped to the closest entry of a reference list (problem 5). SQL only.
 
-Join by the pigeonhole principle: a reference string of length L is cut into k+1 segments;
-a value within k edits of it holds one of them unchanged, at most k places from where it
-stood. Values and reference strings meet by equality on (length, segment number,
-substring); the built-in levenshtein with its threshold verifies, and an anti-join reports
-what met nothing. Both sides are compared by a key that folds width, look-alikes, case and
-the two kana scripts; a reference entry has the keys of its name, its aliases, its reading
-and its romanisation.
+Values equal to an entry are matched by equality. The rest is joined by the pigeonhole principle
+(``operators.pigeonhole``): a reference string is cut into k+1 parts, a value within k edits of it
+holds one of them unchanged; values and reference strings meet by equality on positional
+substrings, the built-in levenshtein with its threshold verifies, and an anti-join reports what
+met nothing. Both sides are compared by a key that folds width, look-alikes, case and the two kana
+scripts; an entry has the keys of its name, its aliases, its reading and its romanisation. Each
+distinct spelling is looked up once, whatever the number of bodies it stands in.
 """
 
 from __future__ import annotations
 
-import re
-import sys
 import unicodedata
-import uuid
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 from barterflow.functions.ids import BLANK_CLASS
 from barterflow.llm.lookalike import FORMS, HAN, HIRAGANA, KATAKANA, LATIN, SAME_LOOK, SIGN_OF
-from barterflow.llm.readings import KANA, READINGS, YOON
+from barterflow.llm.readings import KANA, YOON
+from barterflow.operators.pigeonhole import query, within_edits
 from barterflow.shared import materialised
 
-#: Edits allowed by length of the reference key: (up to this length, edits).
-EDITS = ((3, 1), (5, 2), (8, 3), (sys.maxsize, 4))
-MOST_EDITS = EDITS[-1][1]
+#: Edits allowed by length of the reference key: (up to this length, edits). A key of one character allows none.
+EDITS: list[tuple[int | None, int]] = [(1, 0), (3, 1), (5, 2), (8, 3), (None, 4)]
 
 #: Headings of the two lists, what may follow a list, signs between values, and quantities at a value's end.
 MARK = "(?:求む|求|希望|譲|出|提供) *[:)]"
@@ -46,27 +43,11 @@ PIECES = 12
 FREE_EDITS = "CASE WHEN length(s.key) <= 4 THEN 0 WHEN length(s.key) <= 7 THEN 1 ELSE 2 END"
 
 
-def query(spark: SparkSession, text: str, **frames: DataFrame) -> DataFrame:
-    """``text`` with each {name} standing for a DataFrame; braces of patterns stay as they are."""
-    views = {name: f"v_{uuid.uuid4().hex}" for name in frames}
-    for name, view in views.items():
-        frames[name].createOrReplaceTempView(view)
-        text = text.replace("{" + name + "}", view)
-    out = spark.sql(text)
-    for view in views.values():
-        spark.catalog.dropTempView(view)
-    return out
-
-
 def quoted(s: str) -> str:
     """``s`` as a SQL string literal."""
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def edits_of(length: str) -> str:
-    return "CASE " + " ".join(f"WHEN {length} <= {most} THEN {k}" for most, k in EDITS[:-1]) + f" ELSE {MOST_EDITS} END"
-
-
 @lru_cache(1)
 def _folds() -> tuple[str, str, dict[str, tuple[str, str]]]:
     """Characters that fold to one other, what they fold to, and by voicing mark the kana it joins and what they become."""
@@ -126,16 +107,16 @@ def key_sql(text: str) -> str:
     return f"regexp_replace(translate({text}, {quoted(hira + '-~')}, {quoted(kata + 'ーー')}), '[ ・･/]+', '')"
 
 
-def reference(cards: DataFrame) -> DataFrame:
-    """name, key, len, k, split: every key of every entry of the list; ``split``: the name holds a sign that also stands between values.
+def looks_sql(text: str) -> str:
+    """A plain text with each look-alike letter in one shape, character for character; kana stay what they are."""
+    other = {c: min(shape.values()) for c, shape in FORMS.items() if c != min(shape.values())}
+    return f"translate({text}, {quoted(''.join(other))}, {quoted(''.join(other.values()))})"
 
-    An alias whose canonical name isn't in the list is left out, as are null and blank names.
-    """
-    spark = cards.sparkSession
-    words = [tuple(w.split("=")) for w in sorted(READINGS, key=lambda w: -len(w.partition("=")[0]))]
-    sounds = [tuple(w.split("=")) for w in [*YOON, *KANA]]
-    given = query(
-        spark,
+
+def given_names(cards: DataFrame) -> DataFrame:
+    """name, spelling: the names and the aliases of names in the list; an alias whose canonical name isn't in it is left out, as are null and blank ones."""
+    return query(
+        cards.sparkSession,
         """
         WITH names AS (SELECT DISTINCT name FROM {cards} LATERAL VIEW explode(cards) AS name WHERE trim(name) <> '')
         SELECT name, name AS spelling FROM names
@@ -143,202 +124,234 @@ def reference(cards: DataFrame) -> DataFrame:
         """,
         cards=cards,
     )
-    plain = with_plain(spark, given, "spelling")
+
+
+def reference(cards: DataFrame, readings: DataFrame | None = None) -> DataFrame:
+    """name, key, len, split: every key of every entry of the list; ``split``: the name holds a sign that also stands between values.
+
+    ``readings`` (word, reading): how the words of the names are read, a part of the list that comes with it; without it
+    names have no reading but their kana. The longest word is replaced first. It is held as one array, so it is as bounded as the list's words.
+    """
+    spark = cards.sparkSession
+    sounds = [tuple(w.split("=")) for w in [*YOON, *KANA]]
+    words = readings if readings is not None else spark.createDataFrame([], "word string, reading string")
+    words = query(spark, "SELECT transform(sort_array(collect_set(struct(-length(word) AS n, word, reading))), x -> struct(x.word, x.reading)) AS words FROM {words} WHERE word <> '' AND reading IS NOT NULL", words=words)
+    plain = with_plain(spark, given_names(cards), "spelling")
     return query(
         spark,
         f"""
-        WITH read AS (SELECT name, {key_sql('plain')} AS key, {key_sql(replaced_sql('plain', words))} AS kana FROM {{plain}}),
+        WITH worded AS (SELECT name, plain, (SELECT words FROM {{words}}) AS words FROM {{plain}}),
+        kana AS (SELECT name, plain, aggregate(words, plain, (s, w) -> replace(s, w.word, w.reading)) AS kana FROM worded),
+        read AS (SELECT name, {key_sql('plain')} AS key, {key_sql('kana')} AS kana FROM kana),
         said AS (SELECT name, regexp_replace(regexp_replace({replaced_sql('kana', sounds)}, 'ッ([a-z])', '$1$1'), '([aiueo])ー', '$1$1') AS roman FROM read),
         keys AS (SELECT name, key FROM read UNION SELECT name, kana FROM read UNION SELECT name, roman FROM said WHERE NOT roman RLIKE '[^a-z]')
-        SELECT name, key, length(key) AS len, {edits_of('length(key)')} AS k, name RLIKE '[・/,、]' AS split FROM keys WHERE key <> ''
+        SELECT name, key, length(key) AS len, name RLIKE '[・/,、]' AS split FROM keys WHERE key <> ''
         """,
         plain=plain,
+        words=words,
     )
 
 
-def closest(values: DataFrame, refs: DataFrame) -> DataFrame:
-    """key, name, split, distance: the entry closest to each value's key among those within the entry's edits.
+def hits(keys: DataFrame, refs: DataFrame) -> DataFrame:
+    """key, ref, name, split, distance of every key (column key, distinct) and entry equal to it or within the entry's edits; written once.
 
-    ``values``: column key, distinct, not empty. Of entries equally close the one with the longer
-    common beginning is taken, then the smaller name. A value further away that is the first half or
-    more of one entry's key, and of no other's, is that entry cut short. Values without an entry are
-    not in the result.
+    A key that equals an entry is compared no further, unless column ``doubled`` says it was put together: then only an entry that holds a separator ends it.
     """
-    spark = values.sparkSession
-    # of a key of length len cut into k+1 parts, part i begins at len*i div (k+1)
-    cut = query(
-        spark,
+    open_keys = query(keys.sparkSession, "SELECT k.key AS value FROM {keys} k LEFT ANTI JOIN {refs} r ON k.key = r.key AND (r.split OR NOT k.doubled)", keys=keys, refs=refs)
+    near = within_edits(open_keys, refs.selectExpr("key AS ref").distinct(), EDITS)
+    found = query(
+        keys.sparkSession,
         """
-        SELECT name, key, len, k, split, i, substring(key, (len * i) DIV (k + 1) + 1, (len * (i + 1)) DIV (k + 1) - (len * i) DIV (k + 1)) AS part
-        FROM {refs} LATERAL VIEW explode(sequence(0, k)) AS i WHERE len > k
+        SELECT k.key, r.key AS ref, r.name, r.split, 0 AS distance FROM {keys} k JOIN {refs} r ON k.key = r.key
+        UNION ALL SELECT n.value, n.ref, r.name, r.split, n.distance FROM {near} n JOIN {refs} r ON n.ref = r.key WHERE n.distance > 0
         """,
+        keys=keys,
         refs=refs,
+        near=near,
     )
-    probes = query(
-        spark,
-        f"""
-        WITH known AS (SELECT collect_set(len) AS lens FROM {{refs}}),
-        lengths AS (SELECT key, len, {edits_of('len')} AS k FROM (SELECT key, explode(sequence(greatest(length(key) - {MOST_EDITS}, 2), length(key) + {MOST_EDITS})) AS len FROM {{values}}) WHERE array_contains((SELECT lens FROM known), len)),
-        fits AS (SELECT key, len, k, i, (len * i) DIV (k + 1) + 1 AS at, (len * (i + 1)) DIV (k + 1) - (len * i) DIV (k + 1) AS size
-          FROM lengths LATERAL VIEW explode(sequence(0, k)) AS i WHERE abs(length(key) - len) <= k AND len > k)
-        SELECT DISTINCT key, len, i, substring(key, place, size) AS part
-        FROM fits LATERAL VIEW explode(sequence(greatest(at - k, 1), at + k)) AS place WHERE place + size - 1 <= length(key)
-        """,
-        values=values,
-        refs=refs,
-    )
-    near = query(
-        spark,
+    return materialised(found, "hits")
+
+
+def closest(keys: DataFrame, found: DataFrame, refs: DataFrame) -> DataFrame:
+    """key, name, distance: the entry closest to each key. ``found``: of ``hits``.
+
+    Of entries equally close the one closer without long-vowel signs, ッ and ン is taken, then the one with the longer
+    common beginning, then the smaller name. A key further away that is the first half or more of one entry's key, and of
+    no other's, is that entry cut short. Keys without an entry are not in the result.
+    """
+    return query(
+        keys.sparkSession,
         """
-        WITH met AS (
-          SELECT DISTINCT p.key, c.name, c.split, c.key AS ref, c.k FROM {probes} p JOIN {cut} c ON p.len = c.len AND p.i = c.i AND p.part = c.part
-        ), near AS (SELECT key, name, split, ref, levenshtein(key, ref, k) AS distance FROM met),
-        ranked AS (
-          SELECT key, name, split, distance, row_number() OVER (PARTITION BY key ORDER BY distance,
+        WITH ranked AS (
+          SELECT key, name, distance, row_number() OVER (PARTITION BY key ORDER BY distance,
             levenshtein(regexp_replace(key, '[ーッン]', ''), regexp_replace(ref, '[ーッン]', '')),
             aggregate(sequence(1, length(ref)), 0, (n, j) -> n + int(n = j - 1 AND substring(key, 1, j) = substring(ref, 1, j))) DESC, name) AS best
-          FROM near WHERE distance >= 0
-        )
-        SELECT key, name, split, distance FROM ranked WHERE best = 1
-        """,
-        probes=probes,
-        cut=cut,
-    )
-    within = materialised(near, "within")
-    return query(
-        spark,
-        """
-        WITH starts AS (
-          SELECT substring(key, 1, n) AS start, name, split, min(len - n) AS distance
-          FROM {refs} LATERAL VIEW explode(sequence(greatest(3, (len + 1) DIV 2), greatest(3, len - 1))) AS n WHERE len > 3 GROUP BY 1, 2, 3
-        ), short AS (SELECT start, min(name) AS name, bool_or(split) AS split, min(distance) AS distance FROM starts GROUP BY start HAVING count(DISTINCT name) = 1)
-        SELECT key, name, split, distance FROM {within}
+          FROM {found}
+        ), starts AS (
+          SELECT substring(key, 1, n) AS start, name, min(len - n) AS distance
+          FROM {refs} LATERAL VIEW explode(sequence(greatest(3, (len + 1) DIV 2), greatest(3, len - 1))) AS n WHERE len > 3 GROUP BY 1, 2
+        ), short AS (SELECT start, min(name) AS name, min(distance) AS distance FROM starts GROUP BY start HAVING count(DISTINCT name) = 1)
+        SELECT key, name, distance FROM ranked WHERE best = 1
         UNION ALL
-        SELECT v.key, s.name, s.split, s.distance FROM {values} v JOIN short s ON v.key = s.start LEFT ANTI JOIN {within} w ON v.key = w.key
+        SELECT k.key, s.name, s.distance FROM {keys} k JOIN short s ON k.key = s.start LEFT ANTI JOIN {found} f ON k.key = f.key
         """,
+        keys=keys,
+        found=found,
         refs=refs,
-        within=within,
-        values=values,
     )
 
 
-def listed_values(entries: DataFrame) -> DataFrame:
-    """id, body_key, list, pos, key of each value an entry lists as wanted or offered. ``entries``: id, body_key, plain. Empty values are left out."""
-    return query(
-        entries.sparkSession,
-        f"""
-        WITH lists AS (
-          SELECT id, body_key, list, split(regexp_replace(regexp_replace(section, {quoted('^' + MARK)}, ''), {quoted(AFTER.lower())}, ''), {quoted(BETWEEN)}) AS cells
-          FROM {{entries}} LATERAL VIEW posexplode(split(plain, {quoted('(?=' + MARK + ')')})) AS list, section
-          WHERE section RLIKE {quoted('^' + MARK)}
-        ), cells AS (SELECT id, body_key, list, pos, regexp_replace(cell, {quoted(QUANTITY)}, '') AS cell FROM lists LATERAL VIEW posexplode(cells) AS pos, cell),
-        keys AS (SELECT id, body_key, list, pos, {key_sql('cell')} AS key FROM cells WHERE cell <> '')
-        SELECT id, body_key, list, pos, key FROM keys WHERE key RLIKE '[^0-9:();.!?+]'
-        """,
-        entries=entries,
-    )
+def plain_bodies(entries: DataFrame) -> DataFrame:
+    """id, body, body_key, plain, lists of each distinct (id, body), neither null; written once. ``body_key`` tells the bodies of one id apart.
+
+    ``lists``: the values of each list a body wants or offers, as they stand in plain, without their quantities; empty without a heading.
+    """
+    given = entries.where("id IS NOT NULL AND body IS NOT NULL").select("id", "body").distinct().selectExpr("id", "body", "xxhash64(body) AS body_key")
+    plain = with_plain(entries.sparkSession, given, "body")
+    sections = f"filter(split(plain, {quoted('(?=' + MARK + ')')}), s -> s RLIKE {quoted('^' + MARK)})"
+    cells = f"split(regexp_replace(regexp_replace(s, {quoted('^' + MARK)}, ''), {quoted(AFTER.lower())}, ''), {quoted(BETWEEN)})"
+    return materialised(plain.selectExpr("*", f"transform({sections}, s -> {cells}) AS lists"), "bodies")
 
 
-def mapped_values(entries: DataFrame, cards: DataFrame) -> DataFrame:
-    """id, key, name of each listed value; name null where the value means no entry of the list."""
-    return mapped_by_body(entries, materialised(reference(cards), "reference")).select("id", "key", "name").distinct()
+def mapped_values(entries: DataFrame, cards: DataFrame, readings: DataFrame | None = None) -> DataFrame:
+    """id, key, name of each listed value; name null where the value means no entry of the list. ``entries``: of ``plain_bodies``."""
+    mapped, _ = mapped_by_body(entries, materialised(reference(cards, readings), "reference"), None)
+    return mapped.select("id", "key", "name").distinct()
 
 
-def mapped_by_body(entries: DataFrame, refs: DataFrame) -> DataFrame:
-    """id, body_key, key, name of each listed value, as often as it is listed; name null where the value means no entry of the list.
+def mapped_by_body(entries: DataFrame, refs: DataFrame, spans: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """id, body_key, key, name of each listed value, as often as it is listed, name null where it means no entry of the list; and ``hits`` of all keys.
 
-    Two neighbours of one body of which neither is an entry as it stands are also read as one value, for
-    names that hold a sign that stands between values.
+    Two neighbours of one body of which neither equals an entry are also read as one value, for names that hold a sign
+    that stands between values. ``spans`` (key): more keys to be looked up with the rest. Empty values are left out.
     """
     spark = entries.sparkSession
-    values = materialised(listed_values(entries), "values")
-    found = materialised(closest(values.select("key").distinct(), refs), "closest")
+    cells = materialised(query(spark, "SELECT id, body_key, list, pos, cell FROM {entries} LATERAL VIEW posexplode(lists) AS list, cells LATERAL VIEW posexplode(cells) AS pos, cell WHERE cell <> ''", entries=entries), "cells")
+    # what is done to a spelling is done once, not once a body
+    spellings = query(spark, f"SELECT cell, {key_sql('bare')} AS key FROM (SELECT cell, regexp_replace(cell, {quoted(QUANTITY)}, '') AS bare FROM (SELECT DISTINCT cell FROM {{cells}})) WHERE bare <> ''", cells=cells)
+    spellings = materialised(query(spark, "SELECT s.cell, s.key, r.key IS NOT NULL AS equal FROM {s} s LEFT JOIN (SELECT DISTINCT key FROM {refs}) r ON s.key = r.key WHERE s.key RLIKE '[^0-9:();.!?+]'", s=spellings, refs=refs), "spellings")
     doubles = query(
         spark,
         """
-        WITH open AS (SELECT v.id, v.body_key, v.list, v.pos, v.key, f.distance FROM {values} v LEFT JOIN {found} f ON v.key = f.key WHERE f.distance IS NULL OR f.distance > 0)
-        SELECT a.id, a.body_key, a.list, a.pos, concat(a.key, b.key) AS key, least(a.distance, b.distance) AS single
-        FROM open a JOIN open b ON a.id = b.id AND a.body_key = b.body_key AND a.list = b.list AND a.pos + 1 = b.pos
+        WITH open AS (SELECT c.id, c.body_key, c.list, c.pos, s.key FROM {cells} c JOIN {spellings} s ON c.cell = s.cell WHERE NOT s.equal),
+        followed AS (SELECT *, lead(pos) OVER w AS next_pos, lead(key) OVER w AS next_key FROM open WINDOW w AS (PARTITION BY id, body_key, list ORDER BY pos))
+        SELECT id, body_key, list, pos, key AS a, next_key AS b, concat(key, next_key) AS key FROM followed WHERE next_pos = pos + 1
         """,
-        values=values,
-        found=found,
+        cells=cells,
+        spellings=spellings,
     )
     doubles = materialised(doubles, "doubles")
-    joined = materialised(closest(doubles.select("key").distinct(), refs.where("split")), "joined")
-    return query(
+    keys = query(
+        spark,
+        "SELECT key, min(doubled) AS doubled FROM (SELECT key, false AS doubled FROM {spellings} UNION ALL SELECT key, true FROM {doubles}" + (" UNION ALL SELECT key, false FROM {spans}" if spans is not None else "") + ") GROUP BY key",
+        **{"spellings": spellings, "doubles": doubles} | ({"spans": spans} if spans is not None else {}),
+    )
+    keys = materialised(keys, "keys")
+    near = hits(keys, refs)
+    found = materialised(closest(keys, near, refs), "closest")
+    joined = closest(doubles.select("key").distinct(), near.where("split"), refs.where("split"))
+    pairs = query(
         spark,
         """
-        WITH pairs AS (SELECT d.id, d.body_key, d.list, d.pos, d.key, j.name FROM {doubles} d JOIN {joined} j ON d.key = j.key WHERE d.single IS NULL OR j.distance <= d.single + 2),
-        taken AS (SELECT id, body_key, list, pos FROM pairs UNION SELECT id, body_key, list, pos + 1 FROM pairs),
-        singles AS (SELECT v.id, v.body_key, v.key FROM {values} v LEFT ANTI JOIN taken t ON v.id = t.id AND v.body_key = t.body_key AND v.list = t.list AND v.pos = t.pos),
-        unmatched AS (SELECT s.id, s.body_key, s.key FROM singles s LEFT ANTI JOIN {found} f ON s.key = f.key)
-        SELECT id, body_key, key, name FROM pairs
-        UNION ALL SELECT s.id, s.body_key, s.key, f.name FROM singles s JOIN {found} f ON s.key = f.key
-        UNION ALL SELECT id, body_key, key, CAST(NULL AS STRING) FROM unmatched
+        SELECT d.id, d.body_key, d.list, d.pos, d.key, j.name FROM {doubles} d JOIN {joined} j ON d.key = j.key
+        LEFT JOIN {found} a ON d.a = a.key LEFT JOIN {found} b ON d.b = b.key WHERE coalesce(j.distance <= least(a.distance, b.distance) + 2, true)
         """,
         doubles=doubles,
         joined=joined,
-        values=values,
         found=found,
     )
+    pairs = materialised(pairs, "pairs")
+    mapped = query(
+        spark,
+        """
+        WITH taken AS (SELECT id, body_key, list, pos FROM {pairs} UNION SELECT id, body_key, list, pos + 1 FROM {pairs}),
+        named AS (SELECT s.cell, s.key, f.name FROM {spellings} s LEFT JOIN {found} f ON s.key = f.key)
+        SELECT id, body_key, key, name FROM {pairs}
+        UNION ALL SELECT c.id, c.body_key, n.key, n.name FROM {cells} c JOIN named n ON c.cell = n.cell
+          LEFT ANTI JOIN taken t ON c.id = t.id AND c.body_key = t.body_key AND c.list = t.list AND c.pos = t.pos
+        """,
+        pairs=pairs,
+        spellings=spellings,
+        found=found,
+        cells=cells,
+    )
+    return mapped, near
 
 
-def plain_bodies(entries: DataFrame) -> DataFrame:
-    """id, body, body_key, plain of each distinct (id, body), neither null; written once. ``body_key`` tells the bodies of one id apart."""
-    given = entries.where("id IS NOT NULL AND body IS NOT NULL").select("id", "body").distinct().selectExpr("id", "body", "xxhash64(body) AS body_key")
-    return materialised(with_plain(entries.sparkSession, given, "body"), "bodies")
-
-
-def named_freely(entries: DataFrame, refs: DataFrame) -> DataFrame:
-    """id, body_key, name of the entries of the list that bodies without lists name, in either kana, by reading or romanisation, and within FREE_EDITS.
-
-    What may be a name begins and ends where a run of letters may be cut. Of two, one inside the other, the closer one is taken, then the longer.
-    """
-    spark = entries.sparkSession
+def free_spans(entries: DataFrame, refs: DataFrame) -> DataFrame:
+    """plain, run, a, z, key of what may be a name in the bodies without lists, each distinct plain text once: it begins and ends where a run of letters may be cut."""
     spans = query(
-        spark,
+        entries.sparkSession,
         f"""
-        WITH runs AS (
-          SELECT id, body_key, run, split(regexp_replace(letters, {quoted(CUT)}, '\uE000'), '\uE000') AS pieces
-          FROM {{entries}} LATERAL VIEW posexplode(regexp_extract_all(plain, {quoted(RUN)}, 0)) AS run, letters WHERE NOT plain RLIKE {quoted(MARK)}
-        ), spans AS (
-          SELECT id, body_key, run, a, z, array_join(slice(pieces, a, z - a + 1), '') AS span
+        WITH texts AS (SELECT DISTINCT plain FROM {{entries}} WHERE size(lists) = 0),
+        runs AS (SELECT plain, run, split(regexp_replace(letters, {quoted(CUT)}, ''), '') AS pieces FROM texts LATERAL VIEW posexplode(regexp_extract_all(plain, {quoted(RUN)}, 0)) AS run, letters),
+        spans AS (
+          SELECT plain, run, a, z, array_join(slice(pieces, a, z - a + 1), '') AS span
           FROM runs LATERAL VIEW explode(sequence(1, size(pieces))) AS a LATERAL VIEW explode(sequence(a, least(size(pieces), a + {PIECES - 1}))) AS z
-        ), keys AS (SELECT id, body_key, run, a, z, {key_sql('span')} AS key FROM spans)
+        ), keys AS (SELECT plain, run, a, z, {key_sql('span')} AS key FROM spans)
         SELECT * FROM keys WHERE length(key) BETWEEN 3 AND (SELECT max(len) FROM {{refs}}) + 2
         """,
         entries=entries,
         refs=refs,
     )
-    spans = materialised(spans, "spans")
-    found = materialised(closest(spans.select("key").distinct(), refs), "freely")
-    near = query(
-        spark,
-        f"SELECT s.id, s.body_key, s.run, s.a, s.z, f.name, f.distance FROM {{spans}} s JOIN {{found}} f ON s.key = f.key WHERE f.distance <= {FREE_EDITS}",
+    return materialised(spans, "spans")
+
+
+def named_freely(spans: DataFrame, near: DataFrame) -> DataFrame:
+    """plain, name of the entries that texts without lists name, in either kana, by reading or romanisation, and within FREE_EDITS.
+
+    Of two, one inside the other, the closer one is taken, then the longer.
+    """
+    return query(
+        spans.sparkSession,
+        f"""
+        WITH best AS (SELECT key, min(named_struct('distance', distance, 'name', name)) AS b FROM {{near}} GROUP BY key),
+        near AS (SELECT s.plain, s.run, s.a, s.z, b.name, b.distance FROM {{spans}} s JOIN best ON s.key = best.key WHERE b.distance <= {FREE_EDITS})
+        SELECT DISTINCT n.plain, n.name FROM near n LEFT ANTI JOIN near o ON n.plain = o.plain AND n.run = o.run
+          AND ((o.a <= n.a AND n.z <= o.z AND o.distance <= n.distance) OR (n.a <= o.a AND o.z <= n.z AND o.distance < n.distance)) AND NOT (o.a = n.a AND o.z = n.z)
+        """,
         spans=spans,
-        found=found,
+        near=near,
     )
+
+
+def named_as_written(entries: DataFrame, cards: DataFrame) -> DataFrame:
+    """plain, name of the entries whose name or alias stands in a text without lists, in whatever width and look-alike letters, between no katakana.
+
+    A spelling meets a text where its first characters do (three, or all it has), by equality; the rest is then compared.
+    One inside a longer one doesn't count.
+    """
+    spark = entries.sparkSession
+    forms = query(spark, f"SELECT DISTINCT name, {looks_sql('plain')} AS form FROM {{plain}} WHERE plain <> ''", plain=with_plain(spark, given_names(cards), "spelling"))
     return query(
         spark,
-        """
-        SELECT DISTINCT n.id, n.body_key, n.name FROM {near} n LEFT ANTI JOIN {near} o ON n.id = o.id AND n.body_key = o.body_key AND n.run = o.run
-          AND ((o.a <= n.a AND n.z <= o.z AND o.distance <= n.distance) OR (n.a <= o.a AND o.z <= n.z AND o.distance < n.distance)) AND NOT (o.a = n.a AND o.z = n.z)
+        f"""
+        WITH texts AS (SELECT plain, {looks_sql('plain')} AS looks FROM (SELECT DISTINCT plain FROM {{entries}} WHERE size(lists) = 0)),
+        grams AS (SELECT plain, looks, at, g AS size, substring(looks, at, g) AS gram FROM texts LATERAL VIEW explode(sequence(1, greatest(1, length(looks)))) AS at LATERAL VIEW explode(array(1, 2, 3)) AS g),
+        anchors AS (SELECT name, form, length(form) AS len, least(3, length(form)) AS size, substring(form, 1, 3) AS gram FROM {{forms}}),
+        found AS (
+          SELECT g.plain, a.name, g.at, g.at + a.len AS end FROM grams g JOIN anchors a ON g.size = a.size AND g.gram = a.gram
+          WHERE substring(g.looks, g.at, a.len) = a.form AND NOT (g.at > 1 AND substring(g.plain, g.at - 1, 1) RLIKE '[ァ-ヺー]') AND NOT substring(g.plain, g.at + a.len, 1) RLIKE '[ァ-ヺー]'
+        )
+        SELECT DISTINCT n.plain, n.name FROM found n LEFT ANTI JOIN found o ON n.plain = o.plain AND o.at <= n.at AND n.end <= o.end AND o.end - o.at > n.end - n.at
         """,
-        near=near,
+        entries=entries,
+        forms=forms,
     )
 
 
-def named_otherwise(entries: DataFrame, cards: DataFrame) -> DataFrame:
+def named_otherwise(entries: DataFrame, cards: DataFrame, readings: DataFrame | None = None) -> DataFrame:
     """id, name of the entries of the list that a body names, but neither by the name nor by an alias of it as stored; name '?' where a listed value means none.
 
-    Bodies without lists name an entry where its name or alias stands in them, in whatever width and look-alike letters, between no katakana, and as ``named_freely`` finds it.
-    Null ids and bodies are left out.
+    Bodies without lists name an entry as ``named_as_written`` and ``named_freely`` find it. Null ids and bodies are left out.
     """
     spark = entries.sparkSession
     given = plain_bodies(entries)
-    refs = materialised(reference(cards), "reference")
-    mapped = materialised(mapped_by_body(given, refs), "mapped")
-    freely = named_freely(given, refs)
+    refs = materialised(reference(cards, readings), "reference")
+    spans = free_spans(given, refs)
+    mapped, near = mapped_by_body(given, refs, spans.select("key").distinct())
+    mapped = materialised(query(spark, "SELECT DISTINCT id, body_key, name FROM {mapped}", mapped=mapped), "mapped")
+    free = query(spark, "SELECT plain, name FROM {a} UNION SELECT plain, name FROM {b}", a=named_freely(spans, near), b=named_as_written(given, cards))
     written = query(
         spark,
         """
@@ -349,38 +362,18 @@ def named_otherwise(entries: DataFrame, cards: DataFrame) -> DataFrame:
         """,
         cards=cards,
     )
-    forms = with_plain(spark, query(spark, "SELECT name, form FROM {written} LATERAL VIEW explode(forms) AS form", written=written), "form")
-    # the list is small: it is the reference every value is compared with
-    keys = forms.selectExpr("name", "plain", f"{key_sql('plain')} AS key").distinct().collect()
-    # the longest names first: one that lies inside another doesn't take its place; a character also in its look-alikes
-    spelt = "|".join("".join(f"[{''.join(FORMS[c].values())}]" if c in FORMS else re.escape(c) for c in p) for p in sorted({x.plain for x in keys}, key=lambda p: (-len(p), p)))
-    free = query(
-        spark,
-        f"""
-        SELECT DISTINCT id, body_key, {key_sql('spelling')} AS key FROM {{given}}
-        LATERAL VIEW explode(regexp_extract_all(plain, {quoted(f"(?<![ァ-ヺー])({spelt})(?![ァ-ヺー])")}, 1)) AS spelling WHERE NOT plain RLIKE {quoted(MARK)}
-        """,
-        given=given,
-    )
-    by_key = spark.createDataFrame(sorted({(x.key, x.name) for x in keys}), "key string, name string")
     return query(
         spark,
         """
         WITH named AS (
-          SELECT id, body_key, name FROM {mapped} WHERE name IS NOT NULL
-          UNION SELECT f.id, f.body_key, k.name FROM {free} f JOIN {by_key} k ON f.key = k.key
-          UNION SELECT id, body_key, name FROM {freely}
-        ), unstored AS (
-          SELECT n.id, n.name FROM named n JOIN {given} g ON n.id = g.id AND n.body_key = g.body_key JOIN {written} w ON n.name = w.name
-          WHERE NOT exists(w.forms, f -> contains(g.body, f))
+          SELECT m.id, m.name, g.body FROM {mapped} m JOIN {given} g ON m.id = g.id AND m.body_key = g.body_key WHERE m.name IS NOT NULL
+          UNION ALL SELECT g.id, f.name, g.body FROM {free} f JOIN {given} g ON f.plain = g.plain WHERE size(g.lists) = 0
         )
-        SELECT id, name FROM unstored
+        SELECT n.id, n.name FROM named n JOIN {written} w ON n.name = w.name WHERE NOT exists(w.forms, f -> contains(n.body, f))
         UNION SELECT id, '?' FROM {mapped} WHERE name IS NULL
         """,
         mapped=mapped,
         free=free,
-        freely=freely,
-        by_key=by_key,
         given=given,
         written=written,
     )

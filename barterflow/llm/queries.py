@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barterflow.llm import bpe, canonlist, lookalike, packing, queries_sql, reading, stripes
+from barterflow.llm.readings import READINGS
 from barterflow.plans.posts import card_names, kept_posts, mentions, table
 from barterflow.shared import materialised
 
@@ -46,13 +47,18 @@ def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.with_consistent(entries(spark, sf_dir), "body", "form").drop("body")
 
 
+def word_readings(spark: SparkSession) -> DataFrame:
+    """word, reading: how the kanji words of the card names are read; it comes with the list, as aliases do."""
+    return spark.createDataFrame([tuple(w.split("=")) for w in READINGS], "word string, reading string")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return canonlist.named_otherwise(entries(spark, sf_dir), table(spark, sf_dir, "cards"))
+    return canonlist.named_otherwise(entries(spark, sf_dir), table(spark, sf_dir, "cards"), word_readings(spark))
 
 
 def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every listed value (by its key) with the card it means; null: none."""
-    return canonlist.mapped_values(canonlist.plain_bodies(entries(spark, sf_dir)), table(spark, sf_dir, "cards"))
+    return canonlist.mapped_values(canonlist.plain_bodies(entries(spark, sf_dir)), table(spark, sf_dir, "cards"), word_readings(spark))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from barterflow.llm import canonlist as C
+from barterflow.llm.readings import READINGS
 
 NAMES = ["ルモカ", "ソヨギ", "モリオ", "サキモリオ", "カフェ・ミモレ", "屋根裏の発明家", "星図書館の司書", "ユキヤナギット", "翠嵐団の参謀", "翠嵐団の首領", "ミゾレーヌ"]
 ALIASES = [("みぞれ嬢", "ミゾレーヌ"), ("x", "いない")]
@@ -15,8 +16,18 @@ def cards(spark):
     return spark.createDataFrame([(NAMES + [None, ""], ALIASES)], "cards array<string>, aliases array<struct<alias:string,canonical:string>>")
 
 
-def test_reference_keys(spark, cards):
-    keys = {(r.name, r.key) for r in C.reference(cards).collect()}
+@pytest.fixture(scope="module")
+def readings(spark):
+    return spark.createDataFrame([tuple(w.split("=")) for w in READINGS], "word string, reading string")
+
+
+def allowed(key: str) -> int:
+    return next(k for most, k in C.EDITS if most is None or len(key) <= most)
+
+
+def test_reference_keys(spark, cards, readings):
+    assert ("屋根裏の発明家", "ヤネウラノハツメイカ") not in {(r.name, r.key) for r in C.reference(cards).collect()}
+    keys = {(r.name, r.key) for r in C.reference(cards, readings).collect()}
     assert {("ルモカ", "ルモカ"), ("ルモカ", "rumoka"), ("屋根裏の発明家", "ヤネウラノハツメイカ"), ("屋根裏の発明家", "yaneuranohatsumeika"), ("ミゾレーヌ", "mizoreenu"), ("ミゾレーヌ", "ミゾレ嬢"), ("カフェ・ミモレ", "カフェミモレ"), ("ユキヤナギット", "yukiyanagitto")} <= keys
     assert not any(k == "" or n == "いない" for n, k in keys)
 
@@ -30,10 +41,11 @@ def distance(a: str, b: str) -> int:
     return row[-1]
 
 
-def test_join_loses_no_value_within_the_edits(spark, cards):
+def test_join_loses_no_value_within_the_edits(spark, readings):
     rng = random.Random(7)
-    refs = C.reference(cards)
-    keys = [(r.name, r.key, r.k) for r in refs.collect()]
+    short = spark.createDataFrame([(NAMES + ["堂", "カ", "カキ"], ALIASES + [("A", "ルモカ")])], "cards array<string>, aliases array<struct<alias:string,canonical:string>>")
+    refs = C.reference(short, readings)
+    keys = [(r.name, r.key, allowed(r.key)) for r in refs.collect()]
     values = set()
     for _, key, k in keys:
         for _ in range(25):
@@ -49,7 +61,8 @@ def test_join_loses_no_value_within_the_edits(spark, cards):
                     v[at] = rng.choice("アイウab")
             values.add("".join(v))
     values -= {""}
-    got = {r.key: (r.name, r.distance) for r in C.closest(spark.createDataFrame([(v,) for v in values], "key string"), refs).collect()}
+    given = spark.createDataFrame([(v, False) for v in values], "key string, doubled boolean")
+    got = {r.key: (r.name, r.distance) for r in C.closest(given, C.hits(given, refs), refs).collect()}
     cut = {}
     for name, key, _ in keys:
         for n in range(max(3, (len(key) + 1) // 2), max(4, len(key))):
@@ -59,7 +72,7 @@ def test_join_loses_no_value_within_the_edits(spark, cards):
         near = {}
         for name, key, k in keys:
             d = distance(v, key)
-            if d <= k < len(key):
+            if d <= k:
                 near[name] = min(near.get(name, 99), d)
         if near:
             least = min(near.values())
@@ -91,10 +104,10 @@ CASES = [
 ]
 
 
-def test_named_otherwise(spark, cards):
+def test_named_otherwise(spark, cards, readings):
     rows = [(str(i), b) for i, (b, _) in enumerate(CASES)] + [(None, "求:るもか"), ("n", None), ("0", CASES[0][0])]
     got: dict[str, set[str]] = {}
-    for r in C.named_otherwise(spark.createDataFrame(rows, "id string, body string"), cards).collect():
+    for r in C.named_otherwise(spark.createDataFrame(rows, "id string, body string"), cards, readings).collect():
         assert r.name not in got.setdefault(r.id, set())
         got[r.id].add(r.name)
     for i, (body, want) in enumerate(CASES):
@@ -136,7 +149,24 @@ FREE = [
 ]
 
 
-def test_names_in_bodies_without_lists(spark, cards):
+def test_names_in_bodies_without_lists(spark, cards, readings):
     rows = [(str(i), b) for i, (b, _) in enumerate(FREE)]
-    got = [(r.id, r.name) for r in C.named_otherwise(spark.createDataFrame(rows, "id string, body string"), cards).collect()]
+    got = [(r.id, r.name) for r in C.named_otherwise(spark.createDataFrame(rows, "id string, body string"), cards, readings).collect()]
     assert sorted(got) == sorted((str(i), n) for i, (_, want) in enumerate(FREE) for n in want)
+
+
+def test_names_of_one_character(spark):
+    """They are found where they are written, and nothing a single edit away is taken for them."""
+    cards = spark.createDataFrame([(["堂", "ルモカ", "カ"], [("A", "ルモカ")])], "cards array<string>, aliases array<struct<alias:string,canonical:string>>")
+    rows = [("1", "求:堂 譲:カ"), ("2", "求:ａ 譲:Ｂ"), ("3", "求:ｶ 譲:ルモッカ"), ("4", "求:塔")]
+    df = spark.createDataFrame(rows, "id string, body string")
+    values = {(r.id, r.key, r.name) for r in C.mapped_values(C.plain_bodies(df), cards).collect()}
+    assert values == {("1", "堂", "堂"), ("1", "カ", "カ"), ("2", "a", "ルモカ"), ("2", "b", None), ("3", "カ", "カ"), ("3", "ルモッカ", "ルモカ"), ("4", "塔", None)}
+    assert sorted((r.id, r.name) for r in C.named_otherwise(df, cards).collect()) == [("2", "?"), ("2", "ルモカ"), ("3", "ルモカ"), ("4", "?")]  # カ is stored in ルモッカ
+
+
+def test_a_double_equal_to_a_name_without_separator(spark):
+    """Two values put together are compared with names that hold a separator even where they equal another name."""
+    cards = spark.createDataFrame([(["アイウエ", "アイ・ウエオ"], [])], "cards array<string>, aliases array<struct<alias:string,canonical:string>>")
+    keys = spark.createDataFrame([("アイウエ", True), ("アイウエオ", False)], "key string, doubled boolean")
+    assert {(r.key, r.name, r.distance) for r in C.hits(keys, C.reference(cards)).collect()} == {("アイウエ", "アイウエ", 0), ("アイウエ", "アイ・ウエオ", 1), ("アイウエオ", "アイ・ウエオ", 0)}
