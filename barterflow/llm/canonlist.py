@@ -1,12 +1,12 @@
 """Freely typed values mapped to the closest entry of a reference list (problem 5). SQL only.
 
-Values equal to an entry are matched by equality. The rest is joined by the pigeonhole principle
-(``operators.pigeonhole``): a reference string is cut into k+1 parts, a value within k edits of it
-holds one of them unchanged; values and reference strings meet by equality on positional
-substrings, the built-in levenshtein with its threshold verifies, and an anti-join reports what
-met nothing. Both sides are compared by a key that folds width, look-alikes, case and the two kana
-scripts; an entry has the keys of its name, its aliases, its reading and its romanisation. Each
-distinct spelling is looked up once, whatever the number of bodies it stands in.
+They are joined by the pigeonhole principle (``operators.pigeonhole``): a reference string is cut
+into k+1 parts, a value within k edits of it holds one of them unchanged; values and reference
+strings meet by equality on positional substrings, the built-in levenshtein with its threshold
+verifies, and what met nothing is reported. Both sides are compared by a key that folds width,
+look-alikes, case and the two kana scripts; an entry has the keys of its name, its aliases, its
+reading and its romanisation. Each distinct spelling is looked up once, whatever the number of
+bodies it stands in.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ EDITS: list[tuple[int | None, int]] = [(1, 0), (3, 1), (5, 2), (8, 3), (None, 4)
 
 #: Headings of the two lists, what may follow a list, signs between values, and quantities at a value's end.
 MARK = "(?:求む|求|希望|譲|出|提供) *[:)]"
-AFTER = r"(?s)(?:※|#|フレコ|整理番号|ID *[: ]|No\.).*$"
-BETWEEN = "[\n、,/・]"
+AFTER = r"(?s:(?:※|#|フレコ|整理番号|ID *[: ]|No\.).*$)"
+BETWEEN = "\n、,/・"
 QUANTITY = r" *(?:[×x*] *[0-9]+|[0-9]+ *枚)\s*$"
 
 #: Bodies without lists: runs of letters, the particles a name is told from, where a run may be cut (where the script changes, and beside a particle), the pieces a name may take,
@@ -141,10 +141,9 @@ def reference(cards: DataFrame, readings: DataFrame | None = None) -> DataFrame:
         spark,
         f"""
         WITH worded AS (SELECT name, plain, (SELECT words FROM {{words}}) AS words FROM {{plain}}),
-        kana AS (SELECT name, plain, aggregate(words, plain, (s, w) -> replace(s, w.word, w.reading)) AS kana FROM worded),
-        read AS (SELECT name, {key_sql('plain')} AS key, {key_sql('kana')} AS kana FROM kana),
-        said AS (SELECT name, regexp_replace(regexp_replace({replaced_sql('kana', sounds)}, 'ッ([a-z])', '$1$1'), '([aiueo])ー', '$1$1') AS roman FROM read),
-        keys AS (SELECT name, key FROM read UNION SELECT name, kana FROM read UNION SELECT name, roman FROM said WHERE NOT roman RLIKE '[^a-z]')
+        kana AS (SELECT name, {key_sql('plain')} AS key, {key_sql('aggregate(words, plain, (s, w) -> replace(s, w.word, w.reading))')} AS kana FROM worded),
+        said AS (SELECT name, key, kana, regexp_replace(regexp_replace({replaced_sql('kana', sounds)}, 'ッ([a-z])', '$1$1'), '([aiueo])ー', '$1$1') AS roman FROM kana),
+        keys AS (SELECT DISTINCT name, key FROM (SELECT name, explode(array(key, kana, regexp_extract(roman, '^[a-z]*$', 0))) AS key FROM said))
         SELECT name, key, length(key) AS len, name RLIKE '[・/,、]' AS split FROM keys WHERE key <> ''
         """,
         plain=plain,
@@ -153,64 +152,54 @@ def reference(cards: DataFrame, readings: DataFrame | None = None) -> DataFrame:
 
 
 def hits(keys: DataFrame, refs: DataFrame) -> DataFrame:
-    """key, ref, name, split, distance of every key (column key, distinct) and entry equal to it or within the entry's edits; written once.
-
-    A key that equals an entry is compared no further, unless column ``doubled`` says it was put together: then only an entry that holds a separator ends it.
-    """
-    open_keys = query(keys.sparkSession, "SELECT k.key AS value FROM {keys} k LEFT ANTI JOIN {refs} r ON k.key = r.key AND (r.split OR NOT k.doubled)", keys=keys, refs=refs)
-    near = within_edits(open_keys, refs.selectExpr("key AS ref").distinct(), EDITS)
-    found = query(
-        keys.sparkSession,
-        """
-        SELECT k.key, r.key AS ref, r.name, r.split, 0 AS distance FROM {keys} k JOIN {refs} r ON k.key = r.key
-        UNION ALL SELECT n.value, n.ref, r.name, r.split, n.distance FROM {near} n JOIN {refs} r ON n.ref = r.key WHERE n.distance > 0
-        """,
-        keys=keys,
-        refs=refs,
-        near=near,
-    )
-    return materialised(found, "hits")
+    """key, ref, name, split, distance of every key (column key, distinct) and entry within the entry's edits; written once."""
+    near = within_edits(keys.selectExpr("key AS value"), refs.selectExpr("key AS ref"), EDITS)
+    return materialised(query(keys.sparkSession, "SELECT n.value AS key, n.ref, r.name, r.split, n.distance FROM {near} n JOIN {refs} r ON n.ref = r.key", near=near, refs=refs), "hits")
 
 
 def closest(keys: DataFrame, found: DataFrame, refs: DataFrame) -> DataFrame:
-    """key, name, distance: the entry closest to each key. ``found``: of ``hits``.
+    """key, name, distance of the entry closest to each key, and split_name, split_distance of the closest that holds a separator; written once. ``found``: of ``hits``.
 
     Of entries equally close the one closer without long-vowel signs, ッ and ン is taken, then the one with the longer
     common beginning, then the smaller name. A key further away that is the first half or more of one entry's key, and of
-    no other's, is that entry cut short. Keys without an entry are not in the result.
+    no other's, is that entry cut short. What a key doesn't have is null; keys without an entry are not in the result.
     """
-    return query(
+    best = query(
         keys.sparkSession,
         """
-        WITH ranked AS (
-          SELECT key, name, distance, row_number() OVER (PARTITION BY key ORDER BY distance,
-            levenshtein(regexp_replace(key, '[ーッン]', ''), regexp_replace(ref, '[ーッン]', '')),
-            aggregate(sequence(1, length(ref)), 0, (n, j) -> n + int(n = j - 1 AND substring(key, 1, j) = substring(ref, 1, j))) DESC, name) AS best
+        WITH starts AS (SELECT substring(key, 1, n) AS start, name, split, len - n AS distance FROM {refs} LATERAL VIEW explode(sequence(greatest(3, (len + 1) DIV 2), greatest(3, len - 1))) AS n WHERE len > 3),
+        options AS (
+          SELECT key, true AS near, split, name, named_struct('distance', distance, 'sound', levenshtein(regexp_replace(key, '[ーッン]', ''), regexp_replace(ref, '[ーッン]', '')),
+            'begin', -aggregate(sequence(1, length(ref)), 0, (n, j) -> n + int(n = j - 1 AND substring(key, 1, j) = substring(ref, 1, j))), 'name', name) AS o
           FROM {found}
-        ), starts AS (
-          SELECT substring(key, 1, n) AS start, name, min(len - n) AS distance
-          FROM {refs} LATERAL VIEW explode(sequence(greatest(3, (len + 1) DIV 2), greatest(3, len - 1))) AS n WHERE len > 3 GROUP BY 1, 2
-        ), short AS (SELECT start, min(name) AS name, min(distance) AS distance FROM starts GROUP BY start HAVING count(DISTINCT name) = 1)
-        SELECT key, name, distance FROM ranked WHERE best = 1
-        UNION ALL
-        SELECT k.key, s.name, s.distance FROM {keys} k JOIN short s ON k.key = s.start LEFT ANTI JOIN {found} f ON k.key = f.key
+          UNION ALL SELECT k.key, false, s.split, s.name, named_struct('distance', s.distance, 'sound', 0, 'begin', 0, 'name', s.name) FROM {keys} k JOIN starts s ON k.key = s.start
+        ), grouped AS (
+          SELECT key, min(o) FILTER (WHERE near) AS n, min(o) FILTER (WHERE near AND split) AS ns,
+            if(min(name) FILTER (WHERE NOT near) = max(name) FILTER (WHERE NOT near), min(o) FILTER (WHERE NOT near), NULL) AS s,
+            if(min(name) FILTER (WHERE NOT near AND split) = max(name) FILTER (WHERE NOT near AND split), min(o) FILTER (WHERE NOT near AND split), NULL) AS ss
+          FROM options GROUP BY key
+        )
+        SELECT key, coalesce(n, s).name AS name, coalesce(n, s).distance AS distance, coalesce(ns, ss).name AS split_name, coalesce(ns, ss).distance AS split_distance FROM grouped
         """,
         keys=keys,
         found=found,
         refs=refs,
     )
+    return materialised(best, "closest")
 
 
 def plain_bodies(entries: DataFrame) -> DataFrame:
-    """id, body, body_key, plain, lists of each distinct (id, body), neither null; written once. ``body_key`` tells the bodies of one id apart.
+    """id, body, body_key, lists, plain of each distinct (id, body), neither null; written once. ``body_key`` tells the bodies of one id apart; plain is null beside lists.
 
     ``lists``: the values of each list a body wants or offers, as they stand in plain, without their quantities; empty without a heading.
     """
     given = entries.where("id IS NOT NULL AND body IS NOT NULL").select("id", "body").distinct().selectExpr("id", "body", "xxhash64(body) AS body_key")
     plain = with_plain(entries.sparkSession, given, "body")
-    sections = f"filter(split(plain, {quoted('(?=' + MARK + ')')}), s -> s RLIKE {quoted('^' + MARK)})"
-    cells = f"split(regexp_replace(regexp_replace(s, {quoted('^' + MARK)}, ''), {quoted(AFTER.lower())}, ''), {quoted(BETWEEN)})"
-    return materialised(plain.selectExpr("*", f"transform({sections}, s -> {cells}) AS lists"), "bodies")
+    # split takes one character here: for a pattern it would be compiled again for each row
+    sections = f"filter(split(regexp_replace(plain, {quoted('(?=' + MARK + ')')}, '\uE000'), '\uE000'), s -> s RLIKE {quoted('^' + MARK)})"
+    cells = f"split(translate(regexp_replace(s, {quoted('^' + MARK + '|' + AFTER.lower())}, ''), {quoted(BETWEEN)}, {quoted(BETWEEN[0] * len(BETWEEN))}), {quoted(BETWEEN[0])})"
+    read = plain.selectExpr("*", f"transform({sections}, s -> {cells}) AS lists")
+    return materialised(read.selectExpr("id", "body", "body_key", "if(size(lists) = 0, plain, NULL) AS plain", "lists"), "bodies")
 
 
 def mapped_values(entries: DataFrame, cards: DataFrame, readings: DataFrame | None = None) -> DataFrame:
@@ -226,10 +215,11 @@ def mapped_by_body(entries: DataFrame, refs: DataFrame, spans: DataFrame | None)
     that stands between values. ``spans`` (key): more keys to be looked up with the rest. Empty values are left out.
     """
     spark = entries.sparkSession
-    cells = materialised(query(spark, "SELECT id, body_key, list, pos, cell FROM {entries} LATERAL VIEW posexplode(lists) AS list, cells LATERAL VIEW posexplode(cells) AS pos, cell WHERE cell <> ''", entries=entries), "cells")
-    # what is done to a spelling is done once, not once a body
-    spellings = query(spark, f"SELECT cell, {key_sql('bare')} AS key FROM (SELECT cell, regexp_replace(cell, {quoted(QUANTITY)}, '') AS bare FROM (SELECT DISTINCT cell FROM {{cells}})) WHERE bare <> ''", cells=cells)
-    spellings = materialised(query(spark, "SELECT s.cell, s.key, r.key IS NOT NULL AS equal FROM {s} s LEFT JOIN (SELECT DISTINCT key FROM {refs}) r ON s.key = r.key WHERE s.key RLIKE '[^0-9:();.!?+]'", s=spellings, refs=refs), "spellings")
+    cells = query(spark, "SELECT id, body_key, list, pos, cell FROM {entries} LATERAL VIEW posexplode(lists) AS list, cells LATERAL VIEW posexplode(cells) AS pos, cell WHERE cell <> ''", entries=entries)
+    # what is done to a spelling is done once, not once a body; nothing is filtered here, as filters on the spelling would be moved before DISTINCT
+    spellings = query(spark, f"SELECT cell, {key_sql('bare')} AS key FROM (SELECT cell, regexp_replace(cell, {quoted(QUANTITY)}, '') AS bare FROM (SELECT DISTINCT cell FROM {{cells}}))", cells=cells)
+    spellings = materialised(query(spark, "SELECT s.cell, s.key, r.key IS NOT NULL AS equal FROM {s} s LEFT JOIN (SELECT DISTINCT key FROM {refs}) r ON s.key = r.key", s=spellings, refs=refs), "spellings")
+    spellings = spellings.where("key RLIKE '[^0-9:();.!?+]'")
     doubles = query(
         spark,
         """
@@ -243,28 +233,26 @@ def mapped_by_body(entries: DataFrame, refs: DataFrame, spans: DataFrame | None)
     doubles = materialised(doubles, "doubles")
     keys = query(
         spark,
-        "SELECT key, min(doubled) AS doubled FROM (SELECT key, false AS doubled FROM {spellings} UNION ALL SELECT key, true FROM {doubles}" + (" UNION ALL SELECT key, false FROM {spans}" if spans is not None else "") + ") GROUP BY key",
+        "SELECT key FROM {spellings} UNION SELECT key FROM {doubles}" + (" UNION SELECT key FROM {spans}" if spans is not None else ""),
         **{"spellings": spellings, "doubles": doubles} | ({"spans": spans} if spans is not None else {}),
     )
     keys = materialised(keys, "keys")
     near = hits(keys, refs)
-    found = materialised(closest(keys, near, refs), "closest")
-    joined = closest(doubles.select("key").distinct(), near.where("split"), refs.where("split"))
+    found = closest(keys, near, refs)
     pairs = query(
         spark,
         """
-        SELECT d.id, d.body_key, d.list, d.pos, d.key, j.name FROM {doubles} d JOIN {joined} j ON d.key = j.key
-        LEFT JOIN {found} a ON d.a = a.key LEFT JOIN {found} b ON d.b = b.key WHERE coalesce(j.distance <= least(a.distance, b.distance) + 2, true)
+        SELECT d.id, d.body_key, d.list, d.pos, d.key, j.split_name AS name FROM {doubles} d JOIN {found} j ON d.key = j.key AND j.split_name IS NOT NULL
+        LEFT JOIN {found} a ON d.a = a.key LEFT JOIN {found} b ON d.b = b.key WHERE coalesce(j.split_distance <= least(a.distance, b.distance) + 2, true)
         """,
         doubles=doubles,
-        joined=joined,
         found=found,
     )
     pairs = materialised(pairs, "pairs")
     mapped = query(
         spark,
         """
-        WITH taken AS (SELECT id, body_key, list, pos FROM {pairs} UNION SELECT id, body_key, list, pos + 1 FROM {pairs}),
+        WITH taken AS (SELECT id, body_key, list, explode(array(pos, pos + 1)) AS pos FROM {pairs}),
         named AS (SELECT s.cell, s.key, f.name FROM {spellings} s LEFT JOIN {found} f ON s.key = f.key)
         SELECT id, body_key, key, name FROM {pairs}
         UNION ALL SELECT c.id, c.body_key, n.key, n.name FROM {cells} c JOIN named n ON c.cell = n.cell
@@ -350,8 +338,7 @@ def named_otherwise(entries: DataFrame, cards: DataFrame, readings: DataFrame |
     refs = materialised(reference(cards, readings), "reference")
     spans = free_spans(given, refs)
     mapped, near = mapped_by_body(given, refs, spans.select("key").distinct())
-    mapped = materialised(query(spark, "SELECT DISTINCT id, body_key, name FROM {mapped}", mapped=mapped), "mapped")
-    free = query(spark, "SELECT plain, name FROM {a} UNION SELECT plain, name FROM {b}", a=named_freely(spans, near), b=named_as_written(given, cards))
+    free = materialised(query(spark, "SELECT plain, name FROM {a} UNION SELECT plain, name FROM {b}", a=named_freely(spans, near), b=named_as_written(given, cards)), "free")
     written = query(
         spark,
         """
@@ -362,15 +349,15 @@ def named_otherwise(entries: DataFrame, cards: DataFrame, readings: DataFrame |
         """,
         cards=cards,
     )
+    # a body's values and the body meet by one shuffle on the same key
     return query(
         spark,
         """
         WITH named AS (
-          SELECT m.id, m.name, g.body FROM {mapped} m JOIN {given} g ON m.id = g.id AND m.body_key = g.body_key WHERE m.name IS NOT NULL
-          UNION ALL SELECT g.id, f.name, g.body FROM {free} f JOIN {given} g ON f.plain = g.plain WHERE size(g.lists) = 0
+          SELECT g.id, g.body, coalesce(m.name, '?') AS name FROM {mapped} m JOIN {given} g ON m.id = g.id AND m.body_key = g.body_key
+          UNION ALL SELECT g.id, g.body, f.name FROM {free} f JOIN {given} g ON f.plain = g.plain WHERE size(g.lists) = 0
         )
-        SELECT n.id, n.name FROM named n JOIN {written} w ON n.name = w.name WHERE NOT exists(w.forms, f -> contains(n.body, f))
-        UNION SELECT id, '?' FROM {mapped} WHERE name IS NULL
+        SELECT DISTINCT n.id, n.name FROM named n LEFT JOIN {written} w ON n.name = w.name WHERE n.name = '?' OR NOT exists(w.forms, f -> contains(n.body, f))
         """,
         mapped=mapped,
         free=free,
