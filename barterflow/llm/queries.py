@@ -39,12 +39,22 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookalike.same_look_pairs(entries(spark, sf_dir), "id", "body")
+    return lookalike.same_look_pairs(entries(spark, sf_dir), "id", "body", lookalike.looks(spark))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each class of bodies that look alike and are stored in several ways, with its representative and counts."""
+    return lookalike.look_classes(entries(spark, sf_dir), "id", "body", lookalike.looks(spark))
+
+
+def p2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed and whole-script tokens of all bodies."""
+    return lookalike.confused_tokens(entries(spark, sf_dir), "body", lookalike.looks(spark))
 
 
 def p2_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every entry with its body in the consistent form."""
-    return lookalike.with_consistent(entries(spark, sf_dir), "body", "form").drop("body")
+    return lookalike.with_consistent(entries(spark, sf_dir), "body", "form", lookalike.looks(spark)).drop("body")
 
 
 def word_readings(spark: SparkSession) -> DataFrame:
@@ -99,6 +109,6 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.profile(p8_levels(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_texts": p2_texts, "p5_found": p5_found, "p5_values": p5_values, "p6_ids": p6_ids, "p7_fillings": p7_fillings, "p7_waste": p7_waste, "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_texts": p2_texts, "p2_classes": p2_classes, "p2_tokens": p2_tokens, "p5_found": p5_found, "p5_values": p5_values, "p6_ids": p6_ids, "p7_fillings": p7_fillings, "p7_waste": p7_waste, "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile}
 
 ORACLES = queries_sql.ORACLES

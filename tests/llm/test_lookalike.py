@@ -4,6 +4,7 @@ import pytest
 
 from barterflow.llm import lookalike as L
 
+SPELL = L.Speller(L.FORMS)
 SAME = [
     ("ルモ力", "ルモカ"), ("べ二クラゲ", "ベニクラゲ"), ("ｻｻﾞﾅﾐｱ", "サザナミア"), ("ザ", "ザ"), ("Café", "Café"), ("\u03a4r\u0430d\u0435 \u03bfk", "Trade ok"), ("ＩＤ：１２", "ID:12"), ("ID꞉0020", "ID:0020"), ("27‐78−1", "27-78-1"),
     ("a\u200bb\u00adc", "abc"), ("a\u00a0b", "a b"), ("a\u3000b", "a b"), ("灯台守の⾒習い", "灯台守の見習い"), ("わたあめ売リ", "わたあめ売り"), ("\r\n", "\n"),
@@ -21,9 +22,9 @@ def test_other_look(a, b):
     assert L.consistent(a) != L.consistent(b)
 
 
-@pytest.mark.parametrize(("token", "want"), [("霧港の船大エ", "霧港の船大工"), ("鉱山のラン夕ン係", "鉱山のランタン係"), ("二つ", "ニつ"), ("\u041f\u0440\u0438\u0432\u0435\u0442", "\u041f\u0440\u0438\u0432\u0435\u0442"), ("H\u0435ll\u043e", "Hello"), ("\u0441\u043e\u0440", "cop"), ("へ", "ヘ"), ("てまリ", "てまり")])
+@pytest.mark.parametrize(("token", "want"), [("霧港の船大エ", "霧港の船大工"), ("鉱山のラン夕ン係", "鉱山のランタン係"), ("二つ", "二つ"), ("一つ", "一つ"), ("夕ごはん", "夕ごはん"), ("口ずさむ", "口ずさむ"), ("売リ", "売り"), ("余り", "余り"), ("東京ヘ", "東京へ"), ("卜口の", "トロの"), ("り力", "リカ"), ("カ", "力"), ("ら一めん", "らーめん"), ("もうーつ", "もう一つ"), ("ハロ一ワ一ク", "ハローワーク"), ("人カ", "人力"), ("彩札卜レ一ド", "彩札トレード"), ("TCGカ一ド", "TCGカード"), ("\u041f\u0440\u0438\u0432\u0435\u0442", "\u041f\u0440\u0438\u0432\u0435\u0442"), ("H\u0435ll\u043e", "Hello"), ("\u0441\u043e\u0440", "cop"), ("ヘ", "へ"), ("てまリ", "てまり")])
 def test_spelling(token, want):
-    assert L.spelled(token) == want
+    assert SPELL.spelled(token) == want and SPELL.spelled(want) == want
 
 
 def test_decomposed_marks():
@@ -31,10 +32,12 @@ def test_decomposed_marks():
 
 
 def test_script_sets():
-    assert L.resolved("\u0441\u043e\u0440") == {L.LATIN, L.CYRILLIC}
-    assert L.resolved("H\u0435ll\u043e") == {L.LATIN}
-    assert L.resolved("ルモ力") == {L.KATAKANA}
-    assert L.resolved("船大エの") == frozenset()
+    assert SPELL.resolved("\u0441\u043e\u0440") == {L.LATIN, L.CYRILLIC}
+    assert SPELL.resolved("H\u0435ll\u043e") == {L.LATIN}
+    assert SPELL.resolved("ルモ力") == {L.KATAKANA, L.JAPANESE}
+    assert SPELL.resolved("船大エの") == {L.JAPANESE}
+    assert SPELL.resolved("H\u0435llж") == frozenset()
+    assert [SPELL.kind(t) for t in ("H\u0435llж", "\u0441\u043e\u0440", "Hello", "船大エの", "TCGカード", "ヘリ")] == ["mixed", "whole", "single", "single", "single", "whole"]
 
 
 def test_a_form_is_its_own_form():
@@ -66,3 +69,43 @@ def test_pairs(spark, monkeypatch):
     assert L.same_look_pairs(df.where("false"), "id", "body").count() == 0
     named = df.selectExpr("id", "body", "1 AS form").drop("form")
     assert L.with_consistent(named, "body", "form").columns == ["id", "body", "form"]
+
+
+def test_texts_that_are_written_well_stay(spark):
+    """Ordinary Japanese comes out as it is."""
+    for text in ("東京へ行く。二つ口ずさむ夕ごはん", "一つ余り、売り切れ。工場の入口", "カタログのトップへ", "一番人気のロングヘアー", "力を合わせて八方へ", "リストのリンクはこちら", "ニュース・エリア・タイトル"):
+        assert L.consistent(text) == text
+
+
+def test_batches_are_handled_as_one():
+    texts = ["ルモ力", None, "", "\u0301a", "a", "\ufe0f", "\r", "\n", "☀", "\ufe0f☀", "x\u200d", "👨", "\u200d👩", "plain", "ｶ", "ﾞ"]
+    assert L.consistent_all(texts, SPELL) == [L.consistent(t) for t in texts]
+    assert L.consistent_all([], SPELL) == []
+
+
+def test_unicode_table(spark):
+    looks = L.looks(spark)
+    one = L.Speller(looks)
+    for a, b in (("\u04bbello", "hello"), ("\u0501og", "dog"), ("\u051be", "qe"), ("\u051dhy", "why"), ("\u03c1ay", "pay"), ("\u13aa\u13be", "GO"), ("\u0555K", "OK")):
+        if all(c.isascii() or c in looks for c in a):
+            assert one.spelled(a) == b, (a, b)
+    assert {"\u04bb", "\u0501", "\u051b", "\u03c1"} <= set(looks) and len(looks) > 2 * len(L.FORMS) / 1.5
+    for c, shape in looks.items():
+        assert c in shape.values() and len({__import__("unicodedata").category(x) for x in shape.values()} & {"Lu", "Ll"}) <= 1
+    assert all(looks.get(c) is None for c in "0Il1|土士")  # digits, case and letters of one script aren't merged
+    assert {c: looks[c] for c in L.FORMS if L.KATAKANA in L.FORMS[c]} == {c: s for c, s in L.FORMS.items() if L.KATAKANA in s}
+
+
+def test_many_equal_bodies_take_linear_time(spark):
+    """One variant beside a greeting stored thousands of times: the work is that of the pairs that come out."""
+    rows = spark.range(20_000).selectExpr("cast(id AS string) AS id", "if(id = 7, 'ルモ力', 'ルモカ') AS body")
+    assert L.same_look_pairs(rows, "id", "body").count() == 19_999
+    c = L.look_classes(rows, "id", "body").collect()
+    assert [(r.form, r.representative, r.variants, r.members) for r in c] == [("ルモカ", min("ルモ力", "ルモカ"), 2, 20_000)]
+
+
+def test_confused_tokens(spark):
+    df = spark.createDataFrame([("H\u0435llж カタ",), ("H\u0435llж Hello",), (None,), ("",)], "body string")
+    got = {(r.token, r.kind, r.spelling, r.occurrences) for r in L.confused_tokens(df, "body").collect()}
+    assert got == {("H\u0435llж", "mixed", "Hellж", 2), ("カタ", "whole", "カタ", 1)}
+    assert L.confused_tokens(df.where("false"), "body").count() == 0
