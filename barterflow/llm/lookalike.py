@@ -122,8 +122,6 @@ class Speller:
     def __init__(self, forms: dict[str, dict[str, str]]):
         self.forms = forms
         self.known: dict[str, str] = {}
-        one = "".join(forms)
-        self.token = regex.compile(rf"[\p{{L}}\p{{M}}]*[{one}][\p{{L}}\p{{M}}]*")
 
     def script_sets(self, token: str) -> list[frozenset[str]]:
         """The scripts each character of a token could be read in; empty for marks and characters of other scripts."""
@@ -165,6 +163,10 @@ class Speller:
             done = self.known[token] = "".join(map(self._part, self.parts(token)))
         return done
 
+    def of_match(self, found: regex.Match) -> str:
+        token = found[0]
+        return token if token.isascii() else self.known.get(token) or self.spelled(token)
+
     def _part(self, part: str) -> str:
         if not any(c in self.forms for c in part):
             return part
@@ -232,23 +234,29 @@ def consistent(text: str | None, speller: Speller = _SPELLER) -> str | None:
 def _plain_all(text: str, speller: Speller) -> str:
     if text.isascii() and not _CONTROL.search(text):
         return text
-    text = _UNSEEN.sub("", text)
-    text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(_WIDTHS))
-    text = _UNSEEN.sub("", text)
-    text = _BLANK.sub(" ", text.replace("\r\n", "\n")).translate(_SIGNS)
-    return speller.token.sub(lambda m: speller.spelled(m[0]), text)
+    return _TOKEN.sub(speller.of_match, _without_tokens(text))
+
+
+def _without_tokens(text: str) -> str:
+    """``text`` with all but the spelling of its tokens normalised."""
+    text = _composed(_UNSEEN.sub("", text)).replace("\r\n", "\n").translate(_PLAIN)
+    return _UNSEEN.sub("", _composed(text))
+
+
+def _composed(text: str) -> str:
+    return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
 
 
-class _Widths(dict):
-    """Plain form by code point, worked out when first met."""
+class _Plain(dict):
+    """Plain form by code point in width, blank and sign, worked out when first met."""
 
     def __missing__(self, point: int) -> str:
-        self[point] = _width(chr(point)) if not 0xD800 <= point < 0xE000 else chr(point)
+        c = chr(point)
+        self[point] = c if 0xD800 <= point < 0xE000 else " " if _BLANK.fullmatch(c) else SIGN_OF.get(w := _width(c), w)
         return self[point]
 
 
-_WIDTHS = _Widths()
-_SIGNS = {ord(c): to for c, to in SIGN_OF.items()}
+_PLAIN = _Plain()
 #: Stands between the texts of a batch; no text of UTF-8 holds it.
 _BETWEEN = "\ud800"
 
@@ -279,12 +287,10 @@ def confused_tokens(rows: DataFrame, text: str, forms: dict[str, dict[str, str]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         speller, kinds = Speller(forms or FORMS), {}
         for b in batches:
-            plain = _UNSEEN.sub("", _BETWEEN.join(pc.drop_null(b.column(0)).to_pylist()))
-            plain = unicodedata.normalize("NFC", unicodedata.normalize("NFC", plain).translate(_WIDTHS))
-            found = Counter(speller.token.findall(plain))
+            found = Counter(_TOKEN.findall(_without_tokens(_BETWEEN.join(pc.drop_null(b.column(0)).to_pylist()))))
             for t in found:
                 if t not in kinds:
-                    kinds[t] = speller.kind(t)
+                    kinds[t] = speller.kind(t) if any(c in speller.forms for c in t) else "single"
             rows = [(t, kinds[t], speller.spelled(t), n) for t, n in found.items() if kinds[t] != "single"]
             columns = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64()))], names=["token", "kind", "spelling", "n"])
