@@ -2,11 +2,15 @@
 
 Identifiers are dictionary-encoded exactly: an identifier belongs to the shard its hash
 names and gets a dense code inside that shard. What was delivered is one bit a code, kept
-as bitmaps of 32,768 bits a row, compressed in Parquet. A batch selects one arrival of each
-unseen bit; then the new bits are united with the old ones in a new version of the state,
-which counts only from the moment its version file appears (a rename). That file names the
-folder of the version and the batch it came from, so a try that died is left behind unread
-and a batch that is repeated finds what it selected.
+as bitmaps of 32,768 bits a row, compressed in Parquet. A batch's identifiers are encoded, new
+ones at the end of their shard, and one arrival of each unseen bit is selected; then the new bits
+are united with the old ones in a new version of the state, which counts only from the moment its
+version file appears (a rename). That file names the folder of the version and the batch it came
+from, so a try that died is left behind unread and a batch that is repeated finds what it selected.
+
+A version writes what is new: the codes of its new identifiers and the bitmaps those fall in. The
+state is the codes of all versions and of each bitmap the newest. ``reshard`` writes one version
+with all of it, under another number of shards, after which older codes and bitmaps are dropped.
 """
 
 from __future__ import annotations
@@ -48,7 +52,7 @@ def bit_is_set(bits: Column, position: Column) -> Column:
 
 
 class SeenState:
-    """Dictionary and bitmaps in a folder, by version. ``shards`` counts for a new state only; an old one keeps its own."""
+    """Dictionary and bitmaps in a folder, by version. ``shards`` counts for a new state only; an old one keeps its own until ``reshard``."""
 
     def __init__(self, spark: SparkSession, path: str, shards: int | None = None):
         self.spark, self.path = spark, path.rstrip("/")
@@ -72,7 +76,12 @@ class SeenState:
         return max([int(s.getPath().getName()) for s in fs.listStatus(root) if s.getPath().getName().isdigit()], default=0)
 
     def _committed(self, version: int) -> dict:
-        return json.loads(self.spark.read.text(f"{self.path}/commits/{version}").first().value)
+        fs, path = self._fs()
+        stream = fs.open(path(f"{self.path}/commits/{version}"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()))
+        finally:
+            stream.close()
 
     def version_of(self, stream: str, number: int) -> int | None:
         """The version that batch ``number`` of a stream was committed as; None if it wasn't."""
@@ -81,7 +90,7 @@ class SeenState:
         commits = self.spark.read.schema("version int, stream string, batch bigint").json(f"{self.path}/commits")
         return commits.where((F.col("stream") == stream) & (F.col("batch") == number)).agg(F.max("version").alias("v")).first().v
 
-    def _commit(self, version: int, **more: str | int | None) -> None:
+    def _commit(self, version: int, **more: str | int | list[str] | None) -> None:
         fs, path = self._fs()
         draft, final = path(f"{self.path}/drafts/{version}-{uuid.uuid4().hex}"), path(f"{self.path}/commits/{version}")
         fs.mkdirs(path(f"{self.path}/commits"))
@@ -91,8 +100,25 @@ class SeenState:
         if fs.exists(final) or not fs.rename(draft, final):
             raise RuntimeError(f"version {version} was committed by another writer; ingest the batch again")
 
+    def _at(self, version: int) -> str:
+        return f"{self.path}/{self._committed(version)['at']}"
+
     def table(self, what: str, version: int) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self._committed(version).get('at', f'v{version}')}/{what}")
+        """One version's part of a table."""
+        return self.spark.read.parquet(f"{self._at(version)}/{what}")
+
+    def _parts(self, version: int) -> list[str]:
+        """The folders of the versions whose codes and bitmaps make up the state of ``version``, in order."""
+        return [f"{self.path}/{folder}" for folder in self._committed(version)["parts"]]
+
+    def dictionary(self, version: int) -> DataFrame:
+        """shard, key, code of every identifier seen up to a version."""
+        return self.spark.read.parquet(*[f"{at}/{DICTIONARY}" for at in self._parts(version)])
+
+    def bitmaps(self, version: int) -> DataFrame:
+        """shard, bucket, bits up to a version: of each bitmap the newest."""
+        every = reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{at}/{BITMAPS}").withColumn("v", F.lit(v)) for v, at in enumerate(self._parts(version))])
+        return every.groupBy("shard", "bucket").agg(F.max_by("bits", "v").alias("bits"))
 
     def selected(self, version: int, row_id: str) -> DataFrame:
         """Row ids of the arrivals selected for a committed version."""
@@ -116,27 +142,53 @@ class SeenState:
         at = f"{self.path}/{folder}"
         by_shard = Window.partitionBy("shard")
         if old:
-            known = self.table(DICTIONARY, old)
+            known = self.dictionary(old)
             firsts = firsts.join(known, ["shard", "key"], "left")
             top = known.groupBy("shard").agg(F.max("code").alias("top"))
-            fresh = firsts.where("code IS NULL").join(top, "shard", "left").withColumn("code", F.coalesce("top", F.lit(0)) + F.row_number().over(by_shard.orderBy("key"))).select("shard", "key", "row_id", "code")
-            firsts = firsts.where("code IS NOT NULL").select("shard", "key", "row_id", "code").unionByName(fresh)
+            fresh = firsts.where("code IS NULL").join(top, "shard", "left").withColumn("code", F.coalesce("top", F.lit(0)) + F.row_number().over(by_shard.orderBy("key"))).withColumn("fresh", F.lit(True))
+            firsts = firsts.where("code IS NOT NULL").withColumn("fresh", F.lit(False)).unionByName(fresh.drop("top"))
         else:
-            firsts = firsts.withColumn("code", F.row_number().over(by_shard.orderBy("key")).cast("bigint"))
+            firsts = firsts.withColumn("code", F.row_number().over(by_shard.orderBy("key")).cast("bigint")).withColumn("fresh", F.lit(True))
         firsts = firsts.withColumn("bucket", F.bitmap_bucket_number("code")).withColumn("bit", F.bitmap_bit_position("code"))
         if old:
-            bits = self.table(BITMAPS, old)
-            firsts = firsts.join(bits, ["shard", "bucket"], "left").where(~bit_is_set(F.col("bits"), F.col("bit"))).drop("bits")
-        firsts.select("shard", "bucket", "bit", "key", "code", "row_id").write.option("compression", "zstd").parquet(f"{at}/{FIRSTS}")
+            firsts = firsts.join(self.bitmaps(old), ["shard", "bucket"], "left").where(~bit_is_set(F.col("bits"), F.col("bit"))).drop("bits")
+        firsts.select("shard", "bucket", "bit", "key", "code", "fresh", "row_id").write.option("compression", "zstd").parquet(f"{at}/{FIRSTS}")
         selected = self.spark.read.parquet(f"{at}/{FIRSTS}")
         added = selected.groupBy("shard", "bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
-        codes = selected.select("shard", "key", "code")
         if old:
-            added = added.unionByName(self.table(BITMAPS, old)).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-            codes = codes.unionByName(known).distinct()
-        added.write.option("compression", "zstd").parquet(f"{at}/{BITMAPS}")
+            before = self.bitmaps(old).join(added.select("shard", "bucket"), ["shard", "bucket"], "left_semi")
+            added = added.unionByName(before).groupBy("shard", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+        self._write(at, selected.where("fresh").select("shard", "key", "code"), added)
+        self._commit(new, at=folder, stream=stream, batch=number, parts=[*(self._committed(old)["parts"] if old else []), folder])
+        return new
+
+    def _write(self, at: str, codes: DataFrame, bits: DataFrame) -> None:
+        bits.write.option("compression", "zstd").parquet(f"{at}/{BITMAPS}")
         codes.write.option("compression", "zstd").parquet(f"{at}/{DICTIONARY}")
-        self._commit(new, at=folder, stream=stream, batch=number)
+
+    def reshard(self, shards: int) -> int:
+        """The whole state as one new version under ``shards`` shards; the codes and bitmaps of older versions are removed, what they selected stays. Returns the version.
+
+        Identifiers get new codes; those whose bit isn't set stay unseen.
+        """
+        old, new = self.version(), self.version() + 1
+        if not old:
+            self.shards = shards
+            return 0
+        at = f"{self.path}/v{new}-{uuid.uuid4().hex}"
+        known = self.dictionary(old).withColumn("bucket", F.bitmap_bucket_number("code")).withColumn("bit", F.bitmap_bit_position("code"))
+        known = known.join(self.bitmaps(old), ["shard", "bucket"], "left").select("key", bit_is_set(F.col("bits"), F.col("bit")).alias("seen"))
+        known = known.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+        known.withColumn("code", F.row_number().over(Window.partitionBy("shard").orderBy("key")).cast("bigint")).write.option("compression", "zstd").parquet(f"{at}/coded")
+        coded = self.spark.read.parquet(f"{at}/coded")
+        seen = coded.where("seen").groupBy("shard", F.bitmap_bucket_number("code").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("code")).alias("bits"))
+        self._write(at, coded.select("shard", "key", "code"), seen)
+        parts, self.shards = self._parts(old), shards
+        folder = at.rpartition("/")[2]
+        self._commit(new, at=folder, stream=None, batch=None, parts=[folder])
+        fs, path = self._fs()
+        for p in (*[f"{x}/{what}" for x in parts for what in (DICTIONARY, BITMAPS)], f"{at}/coded"):
+            fs.delete(path(p), True)
         return new
 
 

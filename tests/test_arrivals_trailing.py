@@ -6,7 +6,7 @@ from datetime import date, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from barterflow.operators.arrivals import BITMAPS, SeenState, bit_is_set, surplus_copies
+from barterflow.operators.arrivals import BITMAPS, DICTIONARY, SeenState, bit_is_set, surplus_copies
 from barterflow.operators.trailing import dense_daily, trailing_totals
 
 ROWS = "row bigint, id string, at int, id2 string"
@@ -40,7 +40,44 @@ def test_batches_share_what_was_seen(spark, tmp_path):
     assert sorted(r.row for r in state.ingest(b, "id", ["at"], "row").collect()) == [6]
     assert sorted(r.row for r in surplus_copies(a, "id", ["at"], "row", state).collect()) == [1, 2, 3]
     assert state.version() == 3 and SeenState(spark, state.path, 99).shards == 3
-    assert state.table(BITMAPS, 3).agg(F.sum(F.bitmap_count("bits")).alias("n")).first().n == 3
+    assert state.bitmaps(3).agg(F.sum(F.bitmap_count("bits")).alias("n")).first().n == 3
+
+
+def test_a_version_writes_what_is_new(spark, tmp_path):
+    state = SeenState(spark, f"file://{tmp_path}/s", 2)
+    rows = lambda ids: spark.createDataFrame([(i, str(i), 1, None) for i in ids], ROWS)
+    state.ingest(rows(range(50)), "id", ["at"], "row")
+    state.ingest(rows(range(45, 55)), "id", ["at"], "row")
+    state.ingest(rows(range(10)), "id", ["at"], "row")
+    assert [state.table(DICTIONARY, v).count() for v in (1, 2, 3)] == [50, 5, 0] and state.table(BITMAPS, 3).count() == 0
+    assert state.dictionary(3).select("key").distinct().count() == state.dictionary(3).count() == 55
+    assert state.dictionary(3).select("shard", "code").distinct().count() == 55
+
+
+def test_bits_alone_decide(spark, tmp_path):
+    """An identifier that has a code but whose bit isn't set is selected."""
+    state = SeenState(spark, f"file://{tmp_path}/s", 2)
+    a = spark.createDataFrame([(i, str(i), 1, None) for i in range(6)], ROWS)
+    state.ingest(a, "id", ["at"], "row")
+    none = spark.createDataFrame([], "shard int, bucket bigint, bits binary")
+    folder = state._at(1)
+    none.write.mode("overwrite").parquet(f"{folder}/{BITMAPS}")
+    assert sorted(r.row for r in state.ingest(a, "id", ["at"], "row").collect()) == list(range(6))
+    assert state.ingest(a, "id", ["at"], "row").count() == 0 and state.dictionary(3).count() == 6
+
+
+def test_resharded(spark, tmp_path):
+    state = SeenState(spark, f"file://{tmp_path}/s", 2)
+    rows = lambda ids: spark.createDataFrame([(i, str(i), 1, None) for i in ids], ROWS)
+    first = state.add(rows(range(40)), "id", ["at"], "row")
+    state.ingest(rows(range(30, 60)), "id", ["at"], "row")
+    assert state.reshard(5) == 3 and SeenState(spark, state.path).shards == 5
+    assert state.dictionary(3).count() == 60 and {r.shard for r in state.dictionary(3).select("shard").distinct().collect()} <= set(range(5))
+    assert sorted(r.row for r in state.ingest(rows(range(55, 65)), "id", ["at"], "row").collect()) == list(range(60, 65))
+    assert state.selected(first, "row").count() == 40
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        state.table(DICTIONARY, 1).count()
+    assert SeenState(spark, f"file://{tmp_path}/none").reshard(3) == 0
 
 
 def test_a_version_is_committed_once(spark, tmp_path):
