@@ -12,17 +12,21 @@ from barterflow.shared import materialised
 
 #: The 5 % point of the chi-squared distribution with one degree of freedom.
 SIGNIFICANT = 3.841
-#: Names up to which the dictionary is sent to every task.
+#: Names up to which the dictionary is sent to every task; a larger one meets the counts of all names instead.
 VOCABULARY = 100_000
 
 
 def p1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of cards of a kept post, with counts, lift and log-likelihood ratio."""
-    cards = [r.name for r in card_names(spark, sf_dir).limit(VOCABULARY + 1).collect()]
+    cards = card_names(spark, sf_dir)
+    known = [r.name for r in cards.limit(VOCABULARY + 1).collect()]
     kept = kept_posts(table(spark, sf_dir, "posts"), [F.array_distinct(mentions()).alias("names")])
-    if len(cards) > VOCABULARY:
-        raise ValueError(f"more than {VOCABULARY} names: call cooccurrence without a vocabulary and join the dictionary to its result")
-    out = stripes.cooccurrence(kept, "names", cards)
+    if len(known) <= VOCABULARY:
+        out = stripes.cooccurrence(kept, "names", known)
+    else:
+        out = stripes.cooccurrence(kept, "names")
+        for side in ("name_a", "name_b"):
+            out = out.join(cards.withColumnRenamed("name", side), side, "left_semi")
     return out.select("name_a", "name_b", "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("llr", 4).alias("llr"))
 
 

@@ -2,12 +2,14 @@
 
 Stripes: each map task keeps, per item, an associative array from neighbour to the number
 of records that hold both, and adds to it record after record. What crosses the network are
-these arrays, cut into sections so that one item's neighbours never meet in one task; they
-are merged key by key. Pairs are never emitted record by record.
+these arrays, cut into sections by a hash of the neighbour so that not all of one item's
+neighbours need meet in one task; rows of one item and section are brought together in order and
+merged key by key, one section in memory at a time. Pairs are never emitted record by record.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -16,10 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barterflow.shared import materialised
+
 #: Entries of all stripes of a task before they are handed on, pairs expanded at a time, and the vocabulary up to which counts are kept as a square.
 HELD, AT_ONCE, SQUARE = 1 << 21, 1 << 21, 2048
+#: Sections of an item's neighbours where the vocabulary is open.
+SECTIONS = 64
 
-STRIPE = "item string, neighbours array<string>, counts array<bigint>"
+STRIPE = "item string, section int, neighbours array<string>, counts array<bigint>"
+COUNT = "item string, neighbour string, count bigint"
 
 
 class Stripes:
@@ -103,14 +110,20 @@ class Stripes:
             item, other, count = k // len(self.names), k % len(self.names), self.square[k]
         else:
             item, other, count = self.keys >> 32, self.keys & 0xFFFFFFFF, self.counts
+        # which section each neighbour is in
+        section = np.fromiter((zlib.crc32(x.encode()) % SECTIONS for x in self.names), np.int64, len(self.names)) if self.open else np.zeros(len(self.names), np.int64)
+        of = section[other]
+        order = np.lexsort((of, item))
+        item, other, count, of = item[order], other[order], count[order], of[order]
         names = np.array([*self.names, None], object)
-        begin = np.flatnonzero(np.r_[True, item[1:] != item[:-1]]) if len(item) else np.zeros(0, np.int64)
+        begin = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (of[1:] != of[:-1])]) if len(item) else np.zeros(0, np.int64)
         offsets = pa.array(np.r_[0, begin + 1, len(item) + 1] if len(item) else [0, 1], pa.int32())
         items = pa.array([None, *names[item[begin]]], pa.string())
+        sections = pa.array(np.r_[0, of[begin]], pa.int32())
         neighbours = pa.ListArray.from_arrays(offsets, pa.array([None, *names[other]], pa.string()))
         counts = pa.ListArray.from_arrays(offsets, pa.array(np.r_[self.records, count], pa.int64()))
         self.clear()
-        return pa.RecordBatch.from_arrays([items, neighbours, counts], names=["item", "neighbours", "counts"])
+        return pa.RecordBatch.from_arrays([items, sections, neighbours, counts], names=["item", "section", "neighbours", "counts"])
 
 
 def partial_stripes(records: DataFrame, items: str, only: Sequence[str] | None = None) -> DataFrame:
@@ -130,9 +143,30 @@ def partial_stripes(records: DataFrame, items: str, only: Sequence[str] | None =
 
 
 def merged_stripes(partial: DataFrame) -> DataFrame:
-    """item, neighbour, count over all tasks: the arrays merged by key. Spark adds up again before the shuffle, so a hot item crosses it once a task and neighbour."""
-    entries = partial.select("item", F.explode(F.arrays_zip("neighbours", "counts")).alias("e"))
-    return entries.groupBy("item", F.col("e.neighbours").alias("neighbour")).agg(F.sum("e.counts").alias("count"))
+    """item, neighbour, count over all tasks: arrays of one item and section meet in one task, in order, and are added up key by key.
+
+    A task holds the array it is merging and one batch of rows, whatever the number of tasks a hot item comes from.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # of the last item and section so far, which the next batch may go on with
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = pc.list_parent_indices(batch.column(2))
+            flat = pa.table({"item": batch.column(0).take(own), "section": batch.column(1).take(own), "neighbour": pc.list_flatten(batch.column(2)), "count": pc.list_flatten(batch.column(3))})
+            if held is not None:
+                flat = pa.concat_tables([held, flat])
+            flat = flat.group_by(["item", "section", "neighbour"]).aggregate([("count", "sum")]).rename_columns(["item", "section", "neighbour", "count"])
+            item, section = batch.column(0)[-1], batch.column(1)[-1]
+            same = pc.equal(flat["item"], item) if item.is_valid else pc.is_null(flat["item"])
+            last = pc.fill_null(pc.and_(same, pc.equal(flat["section"], section)), False)
+            held = flat.filter(last)
+            yield from flat.filter(pc.invert(last)).select(["item", "neighbour", "count"]).combine_chunks().to_batches()
+        if held is not None:
+            yield from held.select(["item", "neighbour", "count"]).combine_chunks().to_batches()
+
+    return partial.repartition("item", "section").sortWithinPartitions("item", "section").mapInArrow(run, COUNT)
 
 
 def log_likelihood_ratio(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
@@ -153,8 +187,6 @@ def cooccurrence(records: DataFrame, items: str, only: Sequence[str] | None = No
     n counts all records, also those with a null or empty list. An item counts once a record.
     No pair, no row. Marginals are joined by item: as many rows as items.
     """
-    from barterflow.shared import materialised
-
     counts = materialised(merged_stripes(partial_stripes(records, items, only)), "stripes")
     n = counts.where("item IS NULL").agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     own = counts.where("item = neighbour").select("item", F.col("count").alias("own"))

@@ -64,7 +64,32 @@ def test_stripes_are_handed_on_when_full(spark, monkeypatch):
 
 def unfolded(batch):
     out = Counter()
-    for item, neighbours, counts in zip(*[c.to_pylist() for c in batch.columns]):
+    for item, _, neighbours, counts in zip(*[c.to_pylist() for c in batch.columns]):
         for x, n in zip(neighbours, counts):
             out[item, x] += n
     return out
+
+
+def test_arrays_of_many_tasks_are_merged(spark, monkeypatch):
+    """Partial stripes of one item come from every task, in sections, and more rows than a batch holds."""
+    rng = random.Random(9)
+    records = [["hot", *[f"x{rng.randrange(300)}" for _ in range(5)]] for _ in range(2000)]
+    df = spark.createDataFrame([(r,) for r in records], "items array<string>").repartition(9)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        partial = stripes.partial_stripes(df, "items").persist()
+        assert partial.where("item = 'hot'").select("section").distinct().count() > 50
+        got = {(r.item, r.neighbour): r["count"] for r in stripes.merged_stripes(partial).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    n, own, both = by_hand(records)
+    assert got[None, None] == n and {k: v for k, v in got.items() if k[0] is not None and k[0] < k[1]} == dict(both)
+
+
+def test_a_larger_dictionary_gives_the_same_pairs(spark, monkeypatch):
+    from barterflow.llm import queries
+
+    d = "/root/testdata/sf0.001"
+    want = sorted(map(tuple, queries.p1_pairs(spark, d).collect()))
+    monkeypatch.setattr(queries, "VOCABULARY", 10)
+    assert sorted(map(tuple, queries.p1_pairs(spark, d).collect())) == want and len(want) > 10
