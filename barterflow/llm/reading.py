@@ -1,22 +1,26 @@
 """Reading level of each document by a Rasch-style model (problem 8).
 
 A reader of ability t knows word w with probability 1 / (1 + exp(b_w - t)). The level of a
-document is the ability at which a reader knows a given share of its word occurrences;
-the difficulty of a word follows from the levels of the documents it occurs in. Both are
-estimated in turn by the normal approximation of the Rasch model (PROX): given difficulties,
-each document's level has a closed form from the mean and variance of its words'
-difficulties; given levels, each word's difficulty moves by what the levels of the
-documents that hold it miss. The scale is anchored by graded documents (one grade, one logit).
-
-A step is one pass over the documents; each task adds up sums by word and hands on one row
-a word. Words are hashed to a fixed number of places, so the model that goes to every task has
-a fixed size. Words: runs of letters, or pairs of neighbouring characters in scripts that
-write no blanks between words, and the length of each sentence on a log scale.
+document is the ability at which the expected share of its word occurrences known is SHARE; the
+difficulty of a word is where the expected share of its occurrences known to readers of the levels
+of the documents it stands in is SHARE. Both equations are solved in turn: levels given
+difficulties by Newton's method, document by document; difficulties given levels by a Newton step,
+word by word. Grades anchor the scale (one grade, one logit): what a graded document's level
+misses its grade by is shared among its words, and a straight line puts levels on the grades' scale.
+Documents without a grade take part in every alternation over the corpus, all of them together
+with UNGRADED of the weight of the graded ones, as their levels know less; to words that graded
+documents hardly hold they alone give a difficulty.
+
+Documents are cut into words once and written as word places and counts. An alternation is one
+pass over that table; each task adds up sums by word and hands on one row a word. Words are hashed
+to PLACES places, so the model that goes to every task has a bounded size whatever the corpus:
+at most 12 bytes for each place that weighs. Words: runs of letters, or pairs of neighbouring
+characters in scripts that write no blanks between words, and the length of each sentence on a log scale.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,12 +30,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Places for words (the size of the model), the share of words a reader of a document's level knows, and the occurrences at the mean that a word's own are weighed against.
-PLACES, SHARE, PRIOR = 1 << 18, 0.75, 4.0
-#: Alternations over the graded documents, the share of a document's evidence that holds a difficulty in place, occurrences from which graded documents alone decide, and the weight of words they don't decide.
-STEPS, RIDGE, SEEN, UNSURE = 10, 1.0, 3, 0.3
-#: Logistic to normal: 1.7 squared.
-LOGISTIC = 2.89
+from barterflow.shared import materialised
+
+#: Places for words (the size of the model), the share of word occurrences a reader of a document's level knows, and the occurrences at the mean that a word's own are weighed against.
+PLACES, SHARE, PRIOR = 1 << 20, 0.75, 4.0
+#: Alternations over the graded documents first, then over all; Newton steps a level; the share of a document's evidence that holds a difficulty in place; the weight of all ungraded documents together to that of all graded ones.
+GRADED_STEPS, STEPS, NEWTON, RIDGE, UNGRADED = 3, 3, 3, 0.3, 0.2
+#: Occurrences from which graded documents decide how much a word weighs, and the weight of words they don't decide.
+SEEN, UNSURE = 3, 0.3
+#: The ability above a word's difficulty at which it is known with probability SHARE.
+ABOVE = float(np.log(SHARE / (1 - SHARE)))
 #: Bytes of text handled at a time.
 SLICE_BYTES = 1 << 20
 
@@ -102,20 +110,74 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         i = j
 
 
+def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, places, counts: the places of each document's words, each once, and how often they occur; empty for null and wordless texts. No shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends, places, counts = [np.zeros(1, np.int64)], [], []
+            for i, j, place, text_no in slices(batch.column(1)):
+                both, n = np.unique(text_no.astype(np.int64) * PLACES + place, return_counts=True)
+                places.append((both % PLACES).astype(np.int32))
+                counts.append(n.astype(np.int32))
+                ends.append(ends[-1][-1] + np.cumsum(np.bincount(both // PLACES, minlength=j - i)))
+            offsets = pa.array(np.concatenate(ends), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.zeros(0, np.int32), pa.int32())) for x in (places, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=[key, "places", "counts"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, places array<int>, counts array<int>")
+
+
+class Words:
+    """The words of a batch of documents: place and count of each entry, and the document it is in."""
+
+    def __init__(self, places: pa.ListArray, counts: pa.ListArray):
+        self.docs = len(places)
+        self.place = places.flatten().to_numpy()
+        self.count = counts.flatten().to_numpy().astype(float)
+        self.of = np.repeat(np.arange(self.docs), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+
+    def by_doc(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, x, self.docs)
+
+    def by_place(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place, x, PLACES)
+
+
+def known(x: np.ndarray) -> np.ndarray:
+    """The probability that a reader ``x`` above a word's difficulty knows it."""
+    return 1 / (1 + np.exp(-x))
+
+
 class Model:
-    """Difficulty and weight of each place, and the line that puts raw levels on the anchors' scale."""
+    """Difficulty and weight of each place, and the line that puts raw levels on the grades' scale."""
 
     def __init__(self, n: np.ndarray, s: np.ndarray, ss: np.ndarray):
         """From occurrences, levels and squared levels by place. A word weighs by how much narrower its levels are than all levels."""
-        total = max(n.sum(), 1.0)
-        self.mean = s.sum() / total
-        spread = max(ss.sum() / total - self.mean**2, 0.05)
         self.n = n
-        self.b = (s + PRIOR * self.mean) / (n + PRIOR)
-        var = np.maximum((ss + PRIOR * (spread + self.mean**2)) / (n + PRIOR) - self.b**2, 0.02 * spread)
-        self.weight = np.where(n > 0, (spread / var - 1.0).clip(0.0) + 1e-2, 0.0)
+        self.mean, spread = self._moments(n, s, ss)
+        self.b, self.weight = self._words(n, s, ss, self.mean, spread)
         self.slope, self.shift = 1.0, 0.0
 
+    @staticmethod
+    def _moments(n: np.ndarray, s: np.ndarray, ss: np.ndarray) -> tuple[float, float]:
+        total = max(n.sum(), 1.0)
+        mean = s.sum() / total
+        return mean, max(ss.sum() / total - mean**2, 0.05)
+
+    @staticmethod
+    def _words(n: np.ndarray, s: np.ndarray, ss: np.ndarray, mean: float, spread: float) -> tuple[np.ndarray, np.ndarray]:
+        level = (s + PRIOR * mean) / (n + PRIOR)
+        var = np.maximum((ss + PRIOR * (spread + mean**2)) / (n + PRIOR) - level**2, 0.02 * spread)
+        return level - ABOVE, np.where(n > 0, (spread / var - 1.0).clip(0.0) + 1e-2, 0.0)
+
+    def rare_words(self, n: np.ndarray, s: np.ndarray, ss: np.ndarray) -> None:
+        """Difficulty and weight of the words graded documents hardly hold, from sums of raw levels over all documents."""
+        b, weight = self._words(n, s, ss, *self._moments(n, s, ss))
+        rare = self.n < SEEN
+        self.b, self.weight = np.where(rare, b, self.b), np.where(rare, weight * UNSURE, self.weight)
+
     def __getstate__(self) -> dict:
         """What goes to the tasks: places that weigh, in single precision; counts stay on the driver."""
         at = np.flatnonzero(self.weight).astype(np.int32)
@@ -126,120 +188,124 @@ class Model:
         self.b[state["at"]], self.weight[state["at"]] = state["b"], state["w"]
         self.mean, self.slope, self.shift = state["line"]
 
-    def raw_levels(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Level of each text before the line, and the weight of evidence behind it; the mean level where there is none."""
-        w, wb, wbb = (np.zeros(len(texts)) for _ in range(3))
-        for i, j, place, text in slices(texts):
-            weight, b = self.weight[place], self.b[place]
-            for out, x in ((w, weight), (wb, weight * b), (wbb, weight * b * b)):
-                out[i:j] = np.bincount(text, x, j - i)
-        safe = np.maximum(w, 1e-12)
-        mean = np.where(w > 0, wb / safe, self.mean)
-        var = np.maximum(np.where(w > 0, wbb / safe, 0.0) - mean**2, 0.0)
-        return mean + np.log(SHARE / (1 - SHARE)) * (np.sqrt(1 + var / LOGISTIC) - 1), w
+    def raw_levels(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """The level of each document at which its words are known as expected, before the line, and the weight of evidence behind it."""
+        b, weight = self.b[words.place], self.weight[words.place] * words.count
+        total = words.by_doc(weight)
+        safe = np.maximum(total, 1e-12)
+        t = words.by_doc(weight * b) / safe + ABOVE
+        for _ in range(NEWTON):
+            p = known(t[words.of] - b)
+            slope = np.maximum(words.by_doc(weight * p * (1 - p)) / safe, 1e-3)
+            t = t - np.where(total > 0, np.clip((words.by_doc(weight * p) / safe - SHARE) / slope, -1, 1), 0.0)
+        return t, total
 
-    def levels(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        raw, w = self.raw_levels(texts)
-        return raw * self.slope + self.shift, w
+    def levels(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Levels on the grades' scale, the mean level where there is no evidence, and the evidence."""
+        raw, w = self.raw_levels(words)
+        return np.where(w > 0, raw * self.slope + self.shift, self.mean), w
 
 
-SUMS = "place int, x double, y double, z double"
+#: Sums by place: share, share x level, share x grade of graded documents; occurrences, levels, squared levels of all; known too often and how fast that changes, of ungraded ones.
+SUMS = ("share", "sx", "sy", "n", "s", "ss", "over", "rate")
 
 
-def _by_place(total: np.ndarray, extra: list[tuple[float, float, float]] = ()) -> pa.RecordBatch:
-    """A row a place that occurred; ``extra``: rows of places -1, -2, ..."""
-    at = np.flatnonzero(total.any(axis=0))
-    places = np.r_[at, -1 - np.arange(len(extra))]
-    values = np.c_[total[:, at], np.array(extra, float).reshape(-1, 3).T]
-    return pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), *map(pa.array, values)], names=["place", "x", "y", "z"])
-
-
-def _gathered(parts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sums by place, and the extra rows. At most PLACES rows of three numbers come to the driver, whatever the corpus."""
-    t = parts.groupBy("place").agg(*[F.sum(c).alias(c) for c in "xyz"]).toArrow()
-    place, values = t["place"].to_numpy(), np.array([t[c].to_numpy() for c in "xyz"])
-    total, extra = np.zeros((3, PLACES)), np.zeros((3, 2))
-    total[:, place[place >= 0]] = values[:, place >= 0]
-    extra[:, -1 - place[place < 0]] = values[:, place < 0]
-    return total, extra
-
+def _gathered(rows: DataFrame, sums: Callable[[pa.RecordBatch, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by place over all tasks, and one row of sums without place. ``sums`` adds a batch's to an array (sum, place) and returns the row.
 
-def _level_sums(rows: DataFrame, text: str, level: str | None, model: Model | None) -> Model:
-    """A model from the levels of documents: their own (``level``), or those ``model`` estimates."""
+    At most PLACES rows of eight numbers come to the driver, whatever the corpus.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, PLACES))
+        total, row = np.zeros((len(SUMS), PLACES)), np.zeros(len(SUMS))
         for batch in batches:
-            texts = batch.column(0)
-            own = batch.column(1).to_numpy(zero_copy_only=False) if model is None else model.levels(texts)[0]
-            for i, j, place, t in slices(texts):
-                e = own[i:j][t]
-                total[0] += np.bincount(place, minlength=PLACES)
-                total[1] += np.bincount(place, e, PLACES)
-                total[2] += np.bincount(place, e * e, PLACES)
-        yield _by_place(total)
-
-    return Model(*_gathered(rows.select(text, *([level] if model is None else [])).mapInArrow(run, SUMS))[0])
-
-
-def _alternated(model: Model, graded: DataFrame, text: str, level: str, step: bool) -> Model:
-    """Levels given difficulties, the line to the grades, then (``step``) difficulties given what the levels miss."""
+            row += sums(batch, total)
+        at = np.flatnonzero(total.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1], pa.int32()), *[pa.array(np.r_[x[at], r]) for x, r in zip(total, row)]], names=["place", *SUMS])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, line = np.zeros((3, PLACES)), np.zeros(6)
-        for batch in batches:
-            texts, y = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
-            x, w = model.raw_levels(texts)
-            ok = w > 0
-            line += [ok.sum(), x[ok].sum(), y[ok].sum(), (x * y)[ok].sum(), (x * x)[ok].sum(), 0.0]
-            for i, j, place, t in slices(texts):
-                share = model.weight[place] / np.maximum(w[i:j], 1e-12)[t]
-                for k, v in enumerate((share, share * x[i:j][t], share * y[i:j][t])):
-                    total[k] += np.bincount(place, v, PLACES)
-        yield _by_place(total, [tuple(line[:3]), tuple(line[3:])])
-
-    (share, sx, sy), extra = _gathered(graded.select(text, level).mapInArrow(run, SUMS))
-    n, x, y, xy, xx = *extra[:, 0], *extra[:2, 1]
-    if n > 1 and xx - x * x / n > 1e-9 and xy - x * y / n > 0:
-        model.slope = (xy - x * y / n) / (xx - x * x / n)
-        model.shift = (y - model.slope * x) / n
+    t = rows.mapInArrow(run, "place int, " + ", ".join(f"{c} double" for c in SUMS)).groupBy("place").agg(*[F.sum(c).alias(c) for c in SUMS]).toArrow()
+    place, values = t["place"].to_numpy(), np.array([t[c].to_numpy() for c in SUMS])
+    total, row = np.zeros((len(SUMS), PLACES)), np.zeros(len(SUMS))
+    total[:, place[place >= 0]] = values[:, place >= 0]
+    if (place < 0).any():
+        row = values[:, place < 0].sum(axis=1)
+    return total, row
+
+
+def _begun(graded: DataFrame) -> Model:
+    """A model from the grades of the documents that hold each word."""
+
+    def sums(batch: pa.RecordBatch, total: np.ndarray) -> np.ndarray:
+        words, y = Words(batch.column(0), batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)
+        e = y[words.of]
+        for k, x in enumerate((words.count, words.count * e, words.count * e * e)):
+            total[3 + k] += words.by_place(x)
+        return np.zeros(len(SUMS))
+
+    return Model(*_gathered(graded.select("places", "counts", "grade"), sums)[0][3:6])
+
+
+def _alternated(model: Model, rows: DataFrame, step: bool) -> Model:
+    """Levels given difficulties, the line to the grades, then (``step``) difficulties given levels. Rows: places, counts, grade (null: none)."""
+
+    def sums(batch: pa.RecordBatch, total: np.ndarray) -> np.ndarray:
+        words = Words(batch.column(0), batch.column(1))
+        y = pc.cast(batch.column(2), pa.float64()).to_numpy(zero_copy_only=False)
+        x, w = model.raw_levels(words)
+        graded, ok = ~np.isnan(y), w > 0
+        anchor = np.where(graded & ok, np.nan_to_num(y), 0.0)
+        if step:
+            share = words.count * model.weight[words.place] / np.maximum(w, 1e-12)[words.of]
+            mine, level = (graded & ok)[words.of], x[words.of]
+            fair, free = np.where(mine, share, 0.0), np.where((~graded & ok)[words.of], share, 0.0)
+            seen = np.where(ok[words.of], words.count, 0.0)
+            p = known(level - model.b[words.place])
+            slope = SHARE * (1 - SHARE)
+            for k, v in enumerate((fair, fair * level, fair * anchor[words.of], seen, seen * level, seen * level * level, free * (p - SHARE) / slope, free * p * (1 - p) / slope)):
+                total[k] += words.by_place(v)
+        g = graded & ok
+        return np.array([g.sum(), x[g].sum(), y[g].sum(), (x * y)[g].sum(), (x * x)[g].sum(), (~graded & ok).sum(), 0.0, 0.0])
+
+    (share, sx, sy, n, s, ss, over, rate), (count, x, y, xy, xx, others, *_) = _gathered(rows.select("places", "counts", "grade"), sums)
+    if count > 1 and xx - x * x / count > 1e-9 and xy - x * y / count > 0:
+        model.slope = (xy - x * y / count) / (xx - x * x / count)
+        model.shift = (y - model.slope * x) / count
     if step:
-        model.b = model.b + (sy - model.slope * sx - model.shift * share) / (share + RIDGE)
+        each = UNGRADED * count / others if others else 0.0
+        missed = sy - model.slope * sx - model.shift * share
+        model.b = model.b + (missed + each * over) / (share + each * rate + RIDGE)
+        if others:
+            model.rare_words(n, s, ss)
     return model
 
 
-def fitted(docs: DataFrame, graded: DataFrame, key: str, text: str, level: str) -> Model:
-    """The model of a corpus of which some documents have a level.
+def fitted(docs: DataFrame, graded: DataFrame, key: str, text: str, level: str) -> tuple[Model, DataFrame]:
+    """The model of a corpus of which some documents have a level, and the corpus as key, grade, places, counts (written once).
 
-    Difficulties start from the graded documents, then levels and difficulties are estimated in
-    turn over them; a last pass over all documents gives a difficulty to the words that fewer
-    than SEEN occurrences in graded documents speak for. Without any grade all levels are equal.
+    Without any grade all levels are equal. Several grades of one document are averaged.
     """
-    from barterflow.shared import materialised
-
-    own = graded.select(key, F.col(level).cast("double").alias(level)).where(F.col(level).isNotNull())
-    with_text = materialised(docs.where(F.col(text).isNotNull()).select(key, text).join(own, key).select(text, level), "graded")
-    model = _level_sums(with_text, text, level, None)
-    for step in range(STEPS + 1):
-        model = _alternated(model, with_text, text, level, step < STEPS)
-    every = _level_sums(docs.where(F.col(text).isNotNull()), text, None, model)
-    rare = model.n < SEEN
-    model.b = np.where(rare, (every.b - model.shift) / model.slope, model.b)
-    model.weight = np.where(rare, every.weight * UNSURE, model.weight)
-    return _alternated(model, with_text, text, level, False)
+    own = graded.groupBy(key).agg(F.avg(F.col(level).cast("double")).alias("grade")).where(F.col("grade").isNotNull())
+    corpus = materialised(word_counts(docs, key, text).join(own, key, "left").select(key, "grade", "places", "counts"), "words")
+    some = corpus.where("grade IS NOT NULL")
+    model = _begun(some)
+    for _ in range(GRADED_STEPS):
+        model = _alternated(model, some, True)
+    for _ in range(STEPS):
+        model = _alternated(model, corpus, True)
+    return _alternated(model, some, False), corpus
 
 
 def reading_levels(docs: DataFrame, graded: DataFrame, key: str, text: str, level: str) -> DataFrame:
     """key, level (logits, 0 the middle grade), evidence of each document; null, empty and wordless texts get the mean level and evidence 0."""
-    model = fitted(docs, graded, key, text, level)
+    model, corpus = fitted(docs, graded, key, text, level)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            levels, weight = model.levels(batch.column(1))
+            levels, weight = model.levels(Words(batch.column(1), batch.column(2)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels), pa.array(weight)], names=[key, "level", "evidence"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, level double, evidence double")
+    return corpus.select(key, "places", "counts").mapInArrow(run, f"`{key}` {kind}, level double, evidence double")
 
 
 def profile(levels: DataFrame) -> DataFrame:

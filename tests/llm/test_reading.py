@@ -62,3 +62,38 @@ def test_pair_accuracy_on_held_out_grades(spark):
     rows = reading.reading_levels(docs.join(grades.select("doc_id"), "doc_id"), train, "doc_id", "text", "grade").join(held, "doc_id").join(docs.select("doc_id", F.col("text").rlike(r"\p{IsHiragana}|\p{IsHan}").alias("ja")), "doc_id").collect()
     pairs = [(a.level > b.level) == (a.grade > b.grade) for a in rows for b in rows if a.ja == b.ja and a.grade - b.grade >= 1]
     assert len(pairs) > 500 and np.mean(pairs) > 0.93
+
+
+def test_planted_levels_and_difficulties_are_recovered(spark):
+    """Words of planted difficulty, documents of planted level: a reader of a document's level knows three occurrences in four."""
+    rng = np.random.default_rng(4)
+    b = np.linspace(-4.5, 2.5, 60)
+    names = ["word" + chr(97 + k // 26) + chr(97 + k % 26) for k in range(60)]
+    levels = rng.uniform(-2, 2, 600)
+    draw = lambda t: rng.choice(60, 80, p=(q := np.exp(-((b - (t - reading.ABOVE)) ** 2) / (2 * 0.6**2))) / q.sum())
+    docs = spark.createDataFrame([(i, " ".join(names[k] for k in draw(t))) for i, t in enumerate(levels)], "doc_id bigint, text string")
+    graded = spark.createDataFrame([(i, float(levels[i])) for i in range(150)], "doc_id bigint, grade double")
+    model, corpus = reading.fitted(docs, graded, "doc_id", "text", "grade")
+    places = [int(next(reading.slices(pa.array([n])))[2][0]) for n in names]
+    inner = slice(6, 54)  # the outermost words stand in few documents
+    assert np.corrcoef(model.b[places][inner], b[inner])[0, 1] > 0.97
+    got = {r.doc_id: r.level for r in reading.reading_levels(docs, graded, "doc_id", "text", "grade").collect()}
+    held = range(150, 600)
+    error = np.array([got[i] - levels[i] for i in held])
+    assert np.sqrt((error**2).mean()) < 0.35 and np.corrcoef([got[i] for i in held], levels[150:])[0, 1] > 0.96
+
+
+def test_levels_solve_their_equation():
+    """At a level the weighted share of words known is SHARE."""
+    rng = np.random.default_rng(1)
+    model = reading.Model(np.zeros(reading.PLACES), np.zeros(reading.PLACES), np.zeros(reading.PLACES))
+    model.b[:50], model.weight[:50] = rng.normal(0, 1, 50), rng.uniform(0.1, 3, 50)
+    places = [rng.choice(50, 20, replace=False).tolist() for _ in range(30)] + [[], [60]]
+    counts = [rng.integers(1, 5, len(p)).tolist() for p in places]
+    words = reading.Words(pa.array(places, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())))
+    t, w = model.raw_levels(words)
+    assert list(w[30:]) == [0, 0]
+    for i in range(30):
+        p, c = np.array(places[i]), np.array(counts[i])
+        x = model.weight[p] * c
+        assert abs((x * reading.known(t[i] - model.b[p])).sum() / x.sum() - reading.SHARE) < 1e-3
