@@ -111,7 +111,10 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, places, counts: the places of each document's words, each once, and how often they occur; empty for null and wordless texts. No shuffle."""
+    """key, places, counts: the places of each document's words, each once, and how often they occur; empty for null and wordless texts. No shuffle.
+
+    Both are the bytes of little-endian 32-bit numbers: they pass between Spark and Python as they are, not number by number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,25 +124,38 @@ def word_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
                 places.append((both % PLACES).astype(np.int32))
                 counts.append(n.astype(np.int32))
                 ends.append(ends[-1][-1] + np.cumsum(np.bincount(both // PLACES, minlength=j - i)))
-            offsets = pa.array(np.concatenate(ends), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x) if x else np.zeros(0, np.int32), pa.int32())) for x in (places, counts)]
+            offsets = pa.array(np.concatenate(ends) * 4, pa.int32()).buffers()[1]
+            lists = [pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, offsets, pa.py_buffer((np.concatenate(x) if x else np.zeros(0, np.int32)).astype("<i4").tobytes())]) for x in (places, counts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=[key, "places", "counts"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, places array<int>, counts array<int>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, places binary, counts binary")
+
+
+def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of a column of ``word_counts``, and how many each row has."""
+    column = column.cast(pa.large_binary())
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2].slice(int(bounds[0]), int(bounds[-1] - bounds[0])), "<i4") if len(column) and bounds[-1] > bounds[0] else np.zeros(0, np.int32)
+    return data, np.diff(bounds) // 4
 
 
 class Words:
     """The words of a batch of documents: place and count of each entry, and the document it is in."""
 
-    def __init__(self, places: pa.ListArray, counts: pa.ListArray):
+    def __init__(self, places: pa.Array, counts: pa.Array):
         self.docs = len(places)
-        self.place = places.flatten().to_numpy()
-        self.count = counts.flatten().to_numpy().astype(float)
-        self.of = np.repeat(np.arange(self.docs), pc.list_value_length(places).to_numpy(zero_copy_only=False))
+        self.place, size = numbers(places)
+        self.count = numbers(counts)[0].astype(np.float32)
+        self.of = np.repeat(np.arange(self.docs), size)
+        self.full = np.flatnonzero(size)
+        self.begin = (np.cumsum(size) - size)[self.full]
 
     def by_doc(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.of, x, self.docs)
+        out = np.zeros(self.docs)
+        if len(self.begin):
+            out[self.full] = np.add.reduceat(x, self.begin)
+        return out
 
     def by_place(self, x: np.ndarray) -> np.ndarray:
         return np.bincount(self.place, x, PLACES)
@@ -190,14 +206,15 @@ class Model:
 
     def raw_levels(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """The level of each document at which its words are known as expected, before the line, and the weight of evidence behind it."""
-        b, weight = self.b[words.place], self.weight[words.place] * words.count
+        b, weight = self.b[words.place].astype(np.float32), (self.weight[words.place] * words.count).astype(np.float32)
         total = words.by_doc(weight)
         safe = np.maximum(total, 1e-12)
         t = words.by_doc(weight * b) / safe + ABOVE
         for _ in range(NEWTON):
-            p = known(t[words.of] - b)
-            slope = np.maximum(words.by_doc(weight * p * (1 - p)) / safe, 1e-3)
-            t = t - np.where(total > 0, np.clip((words.by_doc(weight * p) / safe - SHARE) / slope, -1, 1), 0.0)
+            p = known(t.astype(np.float32)[words.of] - b)
+            found = weight * p
+            slope = np.maximum(words.by_doc(found * (1 - p)) / safe, 1e-3)
+            t = t - np.where(total > 0, np.clip((words.by_doc(found) / safe - SHARE) / slope, -1, 1), 0.0)
         return t, total
 
     def levels(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
