@@ -96,6 +96,23 @@ def char_classes() -> np.ndarray:
     return classes
 
 
+class Grown:
+    """An array that is added to at its end; its room doubles, so adding costs what is added."""
+
+    def __init__(self, kind: type):
+        self.room, self.size = np.zeros(1024, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        end = self.size + len(more)
+        if end > len(self.room):
+            self.room = np.concatenate([self.room[: self.size], np.zeros(max(end, 2 * len(self.room)) - self.size, self.room.dtype)])
+        self.room[self.size : end] = more
+        self.size = end
+
+    def values(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
 class Encoder:
     """Encodes Arrow string arrays under one vocabulary; remembers what it encoded."""
 
@@ -110,17 +127,30 @@ class Encoder:
 
     def forget(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.fresh, self.fresh_slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.long: dict[bytes, int] = {}
-        self.flat, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self._flat, self._starts, self._counts = Grown(np.int32), Grown(np.int64), Grown(np.int32)
+
+    @property
+    def flat(self) -> np.ndarray:
+        return self._flat.values()
+
+    @property
+    def starts(self) -> np.ndarray:
+        return self._starts.values()
+
+    @property
+    def counts(self) -> np.ndarray:
+        return self._counts.values()
 
     def _learn(self, parts: list[bytes]) -> int:
         """Encodes new parts; the slot of the first, the rest follow."""
         ids = [merge_part(p, self.ranks) for p in parts]
         counts = np.fromiter(map(len, ids), np.int32, len(ids))
         first = len(self.counts)
-        self.starts = np.r_[self.starts, len(self.flat) + np.cumsum(counts) - counts]
-        self.counts = np.r_[self.counts, counts]
-        self.flat = np.r_[self.flat, np.fromiter((x for y in ids for x in y), np.int32, int(counts.sum()))]
+        self._starts.add(len(self.flat) + np.cumsum(counts, dtype=np.int64) - counts)
+        self._counts.add(counts)
+        self._flat.add(np.fromiter((x for y in ids for x in y), np.int32, int(counts.sum())))
         return first
 
     def _piece_starts(self, cps: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -189,24 +219,35 @@ class Encoder:
             slot[rest] = np.fromiter(map(self.long.__getitem__, parts), np.int64, len(parts))
         return slot, at
 
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of each key; -1 where it isn't known."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, slots in ((self.keys, self.slots), (self.fresh, self.fresh_slots)):
+            if len(known):
+                k = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                out = np.where(known[k] == keys, slots[k], out)
+        return out
+
     def _short(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            self._add(np.unique(keys))
-        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        missing = self.keys[k] != keys
+        slots = self._find(keys)
+        missing = slots < 0
         if missing.any():
             self._add(np.unique(keys[missing]))
-            k = np.searchsorted(self.keys, keys)
-        return self.slots[k]
+            slots[missing] = self._find(keys[missing])
+        return slots
 
     def _add(self, keys: np.ndarray) -> None:
-        if not len(keys):
-            return
+        """New keys go to the smaller sorted part; it is merged into the larger one when it has a quarter of its size."""
         parts = [int(x & 0xFFFFFFFFFFFFFF).to_bytes(7, "little")[: int(x) >> 56] for x in keys.tolist()]
         k = self._learn(parts)
-        both = np.r_[self.keys, keys]
+        both = np.r_[self.fresh, keys]
         order = np.argsort(both, kind="stable")
-        self.keys, self.slots = both[order], np.r_[self.slots, np.arange(k, k + len(keys))][order]
+        self.fresh, self.fresh_slots = both[order], np.r_[self.fresh_slots, np.arange(k, k + len(keys))][order]
+        if len(self.fresh) * 4 > len(self.keys):
+            both = np.r_[self.keys, self.fresh]
+            order = np.argsort(both, kind="stable")
+            self.keys, self.slots = both[order], np.r_[self.slots, self.fresh_slots][order]
+            self.fresh, self.fresh_slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def encode(self, texts: pa.Array, ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         """Tokens of each text, and the ids of all texts one after the other; none for an empty and for a null text."""
@@ -262,6 +303,32 @@ def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str) -> Data
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
+def decode_corpus(encoded: DataFrame, key: str, vocabulary: str, ids: str = "ids", to: str = "text") -> DataFrame:
+    """``key`` and ``to``: the text of each row's ids; '' for an empty and for a null list. The inverse of ``encode_corpus``. No shuffle.
+
+    Ids that make no UTF-8 text, which no encoding of a text gives, have replacement characters there.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = sorted((i, t) for t, i in encoder(vocabulary).ranks.items())
+        flat = np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
+        size = np.zeros(tokens[-1][0] + 1, np.int64)
+        size[[i for i, _ in tokens]] = [len(t) for _, t in tokens]
+        start = np.cumsum(size) - size
+        for batch in batches:
+            lists = batch.column(1)
+            own = lists.flatten().to_numpy(zero_copy_only=False)
+            n = size[own]
+            ends = np.cumsum(n)
+            data = flat[np.repeat(start[own] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+            per = np.bincount(pc.list_parent_indices(lists).to_numpy(), n, len(lists)).astype(np.int64)
+            bounds = np.r_[0, np.cumsum(per)].tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([data[a:b].decode("utf-8", "replace") for a, b in zip(bounds, bounds[1:])], pa.string())], names=[key, to])
+
+    kind = encoded.schema[key].dataType.simpleString()
+    return encoded.select(key, ids).mapInArrow(run, f"`{key}` {kind}, `{to}` string")
+
+
 def token_counts(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
     """``key`` and ``tokens`` (bigint) of each row; 0 for an empty and for a null text. No shuffle."""
 

@@ -24,6 +24,8 @@ from barterflow.shared import materialised
 
 #: Pieces of a block, fillings of a container tried before all others, sizes tried while looking for them, and containers opened (or fillings passed over) before a block keeps the best packing it has.
 BLOCK, FILLINGS, TRIES, NODES = 4096, 4, 96, 6000
+#: Pieces of a filling up to which it is weighed whether another one dominates it.
+MOST_WEIGHED = 10
 #: Kinds of containers; more are refused.
 MOST_KINDS = 1000
 
@@ -71,10 +73,27 @@ class Stock:
 
 
 def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
-    """Whether some split of ``b`` fits piece by piece into ``a`` (checked for one piece against all, and for as many pieces): ``b`` then never packs better."""
-    if len(a) == 1:
-        return sum(b) <= a[0]
-    return len(a) == len(b) and all(x >= y for x, y in zip(a, b))
+    """Whether the pieces of ``b`` can be parted into groups of which each fits into another piece of ``a``: ``b`` then never packs better than ``a``.
+
+    Found by trying where each piece goes, the largest first. Fillings of more than MOST_WEIGHED pieces are not weighed
+    (False): they are tried, which costs time and loses nothing.
+    """
+    if sum(b) > sum(a) or len(b) > MOST_WEIGHED:
+        return False
+    pieces, room = sorted(b, reverse=True), sorted(a, reverse=True)
+
+    def place(i: int) -> bool:
+        if i == len(pieces):
+            return True
+        for k, left in enumerate(room):
+            if left >= pieces[i] and left not in room[:k]:
+                room[k] -= pieces[i]
+                if place(i + 1):
+                    return True
+                room[k] += pieces[i]
+        return False
+
+    return place(0)
 
 
 def fillings(stock: Stock, room: int) -> list[tuple[int, ...]]:
@@ -155,12 +174,23 @@ def others(tried: list[tuple[int, ...]], found: Iterator[tuple[int, ...] | None]
 
 
 def complete(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Indices of the pieces of each container; every piece in exactly one. At best as many containers as the sizes' sum needs."""
+    """As ``completed`` under NODES; the packing alone."""
+    return completed(sizes, capacity, NODES)[0]
+
+
+def completed(sizes: list[int], capacity: int, nodes_at_most: int | None = NODES) -> tuple[list[list[int]], bool]:
+    """Indices of the pieces of each container, every piece in exactly one, and whether it is proven that no packing needs fewer.
+
+    Proven is what meets the bound by the sizes' sum, and what a search that came to its end has left. ``nodes_at_most``:
+    containers opened before a better packing found ends the search; twice as many end it in any case. None: the search
+    goes on to its end, which is exact and may take very long.
+    """
     known = best_fit(sizes, capacity)
     total = sum(sizes)
     least = -(-total // capacity)
     if len(known) == least:
-        return known
+        return known, True
+    most = float("inf") if nodes_at_most is None else nodes_at_most
     stock = Stock(sizes)
     path: list[tuple[tuple[int, ...], Iterator[tuple[int, ...] | None]]] = []  # filling in force, fillings still to try
     waste, nodes, best = 0, 0, None
@@ -170,7 +200,7 @@ def complete(sizes: list[int], capacity: int) -> list[list[int]]:
         allowed = limit * capacity - total
         if not stock.order:
             best = [f for f, _ in path]
-            if len(best) == least or nodes >= NODES:
+            if len(best) == least or nodes >= most:
                 break
             options: Iterator[tuple[int, ...] | None] = iter(())
         elif waste > allowed:
@@ -181,7 +211,7 @@ def complete(sizes: list[int], capacity: int) -> list[list[int]]:
             stock.take(first)
             likely = [(first, *f) for f in fillings(stock, capacity - first)]
             stock.put(first)
-            options = iter(likely[:1]) if nodes >= NODES * 2 else chain(likely, others(likely, every_filling(stock, first, capacity)))
+            options = iter(likely[:1]) if nodes >= most * 2 else chain(likely, others(likely, every_filling(stock, first, capacity)))
         while True:
             now = None
             for now in options:
@@ -189,7 +219,7 @@ def complete(sizes: list[int], capacity: int) -> list[list[int]]:
                     break
                 now = None
                 nodes += 1
-                if nodes >= NODES * 2:
+                if nodes >= most * 2:
                     break
             if now is not None:
                 for s in now:
@@ -197,22 +227,23 @@ def complete(sizes: list[int], capacity: int) -> list[list[int]]:
                 waste += capacity - sum(now)
                 path.append((now, options))
                 break
-            if not path or nodes >= NODES * 2:
+            if not path or nodes >= most * 2:
                 going = False
                 break
             undone, options = path.pop()
             for s in undone:
                 stock.put(s)
             waste -= capacity - sum(undone)
+    proven = not nodes >= most * 2 if best is None else len(best) == least or (not path and nodes < most * 2)
     if best is None or len(best) >= len(known):
-        return known
+        return known, proven
     by_size: dict[int, list[int]] = {}
     for i, s in enumerate(sizes):
         by_size.setdefault(s, []).append(i)
-    return [[by_size[s].pop() for s in f] for f in best]
+    return [[by_size[s].pop() for s in f] for f in best], proven
 
 
-PACKED = "container_id int, capacity int, block bigint, bin int, doc_id bigint, piece int, begin_token bigint, tokens bigint, room bigint"
+PACKED = "container_id int, capacity int, block bigint, bin int, doc_id bigint, piece int, begin_token bigint, tokens bigint, room bigint, proven boolean"
 
 
 def _fill(pieces: DataFrame) -> DataFrame:
@@ -222,11 +253,12 @@ def _fill(pieces: DataFrame) -> DataFrame:
         table = table.sort_by([("tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")])
         sizes, capacity = table["tokens"].to_pylist(), table["capacity"][0].as_py()
         bins, room = [0] * len(sizes), [0] * len(sizes)
-        for b, members in enumerate(complete(sizes, capacity)):
+        packing, proven = completed(sizes, capacity)
+        for b, members in enumerate(packing):
             left = capacity - sum(sizes[i] for i in members)
             for i in members:
                 bins[i], room[i] = b, left
-        return pa.table({"container_id": table["container_id"], "capacity": table["capacity"], "block": table["block"], "bin": pa.array(bins, pa.int32()), "doc_id": table["doc_id"], "piece": table["piece"], "begin_token": table["begin_token"], "tokens": table["tokens"], "room": pa.array(room, pa.int64())})
+        return pa.table({"container_id": table["container_id"], "capacity": table["capacity"], "block": table["block"], "bin": pa.array(bins, pa.int32()), "doc_id": table["doc_id"], "piece": table["piece"], "begin_token": table["begin_token"], "tokens": table["tokens"], "room": pa.array(room, pa.int64()), "proven": pa.array([proven] * len(sizes), pa.bool_())})
 
     return pieces.groupBy("container_id", "block").applyInArrow(run, PACKED)
 
@@ -245,12 +277,13 @@ def _counts(pieces: DataFrame) -> dict[int, int]:
 
 
 def packed(sizes: DataFrame, containers: DataFrame) -> DataFrame:
-    """container_id, bin_id, doc_id, piece, begin_token, tokens, room of every piece of every document in every kind of container.
+    """container_id, bin_id, doc_id, piece, begin_token, tokens, room, proven of every piece of every document in every kind of container.
 
     ``sizes``: doc_id, tokens; ``containers``: container_id, capacity (rows without a positive
     capacity are left out). A document within the capacity is one piece 0; a larger one is cut
     into full containers and a rest. A document of 0 tokens takes no room: bin_id and room null.
-    ``room`` is what is left in the piece's container. Documents of unknown size (null) count as 0.
+    ``room`` is what is left in the piece's container; ``proven``: no packing of the container's block needs fewer.
+    Documents of unknown size (null) count as 0.
     """
     kinds = containers.where("capacity > 0 AND container_id IS NOT NULL").select(F.col("container_id").cast("int").alias("container_id"), F.col("capacity").cast("int").alias("capacity")).distinct().limit(MOST_KINDS + 1).collect()
     if len(kinds) > MOST_KINDS:
@@ -260,20 +293,32 @@ def packed(sizes: DataFrame, containers: DataFrame) -> DataFrame:
     pieces = each.withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("size") / F.col("capacity")).cast("int") - 1))))
     begin = F.col("piece").cast("bigint") * F.col("capacity")
     pieces = pieces.select("container_id", "capacity", "doc_id", "piece", begin.alias("begin_token"), F.least(F.col("capacity").cast("bigint"), F.col("size") - begin).alias("tokens"))
-    done = pieces.where("tokens = 0 OR tokens = capacity").select("container_id", F.when(F.col("tokens") > 0, F.format_string("full-%d-%d", "doc_id", "piece")).alias("bin_id"), "doc_id", "piece", "begin_token", "tokens", F.when(F.col("tokens") > 0, F.lit(0).cast("bigint")).alias("room"))
+    done = pieces.where("tokens = 0 OR tokens = capacity").select("container_id", F.when(F.col("tokens") > 0, F.format_string("full-%d-%d", "doc_id", "piece")).alias("bin_id"), "doc_id", "piece", "begin_token", "tokens", F.when(F.col("tokens") > 0, F.lit(0).cast("bigint")).alias("room"), F.when(F.col("tokens") > 0, F.lit(True)).alias("proven"))
     loose = pieces.where("tokens > 0 AND tokens < capacity")
     first = materialised(_fill(_dealt(loose, _counts(loose), 0)), "packed")
-    poor = first.where("room * 50 > capacity").drop("block", "bin", "room")
+    poor = first.where("room * 50 > capacity").drop("block", "bin", "room", "proven")
     again = _fill(_dealt(poor, _counts(poor), 1))
 
     def named(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select("container_id", F.format_string(name + "-%d-%d", "block", "bin").alias("bin_id"), "doc_id", "piece", "begin_token", "tokens", "room")
+        return rows.select("container_id", F.format_string(name + "-%d-%d", "block", "bin").alias("bin_id"), "doc_id", "piece", "begin_token", "tokens", "room", "proven")
 
     return done.unionByName(named(first.where("room * 50 <= capacity"), "a")).unionByName(named(again, "b"))
 
 
 def waste(fillings_of: DataFrame, containers: DataFrame) -> DataFrame:
-    """container_id, bins, tokens, least_bins (no packing needs fewer), filled (share of the room used)."""
+    """container_id, bins, tokens, least_bins (no packing needs fewer), filled (share of the room used), proven (share of containers in blocks no packing of which needs fewer)."""
     used = fillings_of.where("bin_id IS NOT NULL")
-    bins = used.groupBy("container_id", "bin_id").agg(F.sum("tokens").alias("tokens")).groupBy("container_id").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"))
-    return bins.join(containers.select("container_id", "capacity"), "container_id").select("container_id", "bins", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"), F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6).alias("filled"))
+    bins = used.groupBy("container_id", "bin_id").agg(F.sum("tokens").alias("tokens"), F.bool_and("proven").alias("proven")).groupBy("container_id").agg(F.count("*").alias("bins"), F.sum("tokens").alias("tokens"), F.count_if("proven").alias("sure"))
+    return bins.join(containers.select("container_id", "capacity"), "container_id").select("container_id", "bins", "tokens", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_bins"), F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6).alias("filled"), F.round(F.col("sure") / F.col("bins"), 4).alias("proven"))
+
+
+def audited(fillings_of: DataFrame, sizes: DataFrame, containers: DataFrame) -> DataFrame:
+    """container_id, documents, broken (documents whose pieces aren't their tokens, each once and in order, cut only beyond the capacity), overfull (containers that hold more than they can, or whose room is told wrong)."""
+    kinds = containers.select("container_id", "capacity")
+    pieces = fillings_of.groupBy("container_id", "doc_id").agg(F.count("*").alias("n"), F.count_distinct("begin_token").alias("begins"), F.sum("tokens").alias("total"), F.max(F.col("begin_token") + F.col("tokens")).alias("end"), F.max("tokens").alias("largest"))
+    whole = pieces.join(sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).alias("size")), "doc_id", "left").join(kinds, "container_id")
+    fine = (F.col("total") == F.col("size")) & (F.col("end") == F.col("size")) & (F.col("begins") == F.col("n")) & (F.col("n") == F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity"))))
+    documents = whole.groupBy("container_id").agg(F.count("*").alias("documents"), F.count_if(~F.coalesce(fine, F.lit(False))).alias("broken"))
+    bins = fillings_of.where("bin_id IS NOT NULL").groupBy("container_id", "bin_id").agg(F.sum("tokens").alias("held"), F.min("room").alias("lo"), F.max("room").alias("hi")).join(kinds, "container_id")
+    bad = bins.groupBy("container_id").agg(F.count_if(~((F.col("held") <= F.col("capacity")) & (F.col("capacity") - F.col("held") == F.col("lo")) & (F.col("lo") == F.col("hi")))).alias("overfull"))
+    return documents.join(bad, "container_id", "left").na.fill(0, ["overfull"]).select("container_id", "documents", "broken", "overfull")

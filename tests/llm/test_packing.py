@@ -56,6 +56,32 @@ def test_better_than_best_fit():
 
 def test_domination():
     assert packing.dominates((10,), (4, 5)) and packing.dominates((5, 3), (5, 2)) and not packing.dominates((5, 3), (4, 4)) and not packing.dominates((3, 3), (2, 2, 2))
+    assert packing.dominates((9, 4), (5, 4, 4)) and packing.dominates((7, 6), (4, 3, 3, 3)) and not packing.dominates((6, 6), (4, 4, 4)) and packing.dominates((3,), ())
+    assert not packing.dominates((100,), (1,) * 11)  # not weighed
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_what_is_proven_is_so(seed):
+    rng = random.Random(seed)
+    for nodes in (1, 5, 50, None):
+        capacity = rng.choice([20, 30, 50])
+        sizes = sorted((rng.randint(2, capacity * 2 // 3) for _ in range(rng.randint(6, 10))), reverse=True)
+        got, proven = packing.completed(list(sizes), capacity, nodes)
+        assert sorted(i for b in got for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= capacity for b in got)
+        assert proven or nodes is not None
+        if proven:
+            assert len(got) == fewest(tuple(sizes), capacity)
+
+
+def test_an_audit_finds_what_is_wrong(spark):
+    kinds = spark.createDataFrame([(1, "t", 10)], KINDS)
+    sizes = spark.createDataFrame([(1, 4), (2, 15), (3, 0), (4, None)], SIZES)
+    good = packing.packed(sizes, kinds)
+    assert [tuple(r) for r in packing.audited(good, sizes, kinds).collect()] == [(1, 4, 0, 0)]
+    lost, twice = good.where("NOT (doc_id = 2 AND piece = 1)"), good.unionByName(good.where("doc_id = 1"))
+    assert packing.audited(lost, sizes, kinds).first().broken == 1
+    bad = packing.audited(twice, sizes, kinds).first()
+    assert bad.broken == 1 and bad.overfull == 1
 
 
 SIZES, KINDS = "doc_id bigint, tokens bigint", "container_id int, tokenizer string, capacity int"
