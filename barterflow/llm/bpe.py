@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 #: The pattern the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -282,6 +283,17 @@ def encoder(path: str) -> Encoder:
     return Encoder(read_ranks(path))
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends the vocabulary to the executors, which need not have it where the driver does; returns the name it has there."""
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
+def own_encoder(vocabulary: str) -> Encoder:
+    """The worker's encoder of a vocabulary that was shipped."""
+    return encoder(SparkFiles.get(vocabulary))
+
+
 def vocabulary_path(name: str, folder: str = TOKENIZERS) -> str:
     path = os.path.join(folder, f"{name}.tiktoken")
     if not os.path.exists(path):
@@ -292,8 +304,10 @@ def vocabulary_path(name: str, folder: str = TOKENIZERS) -> str:
 def encode_corpus(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
     """``key`` and ``ids`` (array<int>) of each row: an empty list for an empty and for a null text. No shuffle."""
 
+    vocabulary = shipped(docs.sparkSession, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = own_encoder(vocabulary)
         for batch in batches:
             counts, ids = own.encode(batch.column(1))
             # lists of at most 2^31 ids: a batch has a bounded number of rows
@@ -309,8 +323,10 @@ def decode_corpus(encoded: DataFrame, key: str, vocabulary: str, ids: str = "ids
     Ids that make no UTF-8 text, which no encoding of a text gives, have replacement characters there.
     """
 
+    vocabulary = shipped(encoded.sparkSession, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = sorted((i, t) for t, i in encoder(vocabulary).ranks.items())
+        tokens = sorted((i, t) for t, i in own_encoder(vocabulary).ranks.items())
         flat = np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
         size = np.zeros(tokens[-1][0] + 1, np.int64)
         size[[i for i, _ in tokens]] = [len(t) for _, t in tokens]
@@ -332,8 +348,10 @@ def decode_corpus(encoded: DataFrame, key: str, vocabulary: str, ids: str = "ids
 def token_counts(docs: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
     """``key`` and ``tokens`` (bigint) of each row; 0 for an empty and for a null text. No shuffle."""
 
+    vocabulary = shipped(docs.sparkSession, vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary)
+        own = own_encoder(vocabulary)
         for batch in batches:
             counts, _ = own.encode(batch.column(1), ids=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=[key, "tokens"])

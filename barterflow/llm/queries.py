@@ -50,7 +50,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each class of bodies that look alike and are stored in several ways, with its representative and counts."""
-    return lookalike.look_classes(entries(spark, sf_dir), "id", "body", lookalike.looks(spark))
+    return lookalike.look_classes(entries(spark, sf_dir), "id", "body", lookalike.looks(spark)).drop("form")
 
 
 def p2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
