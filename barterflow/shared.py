@@ -47,3 +47,8 @@ def materialised(df: DataFrame, what: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Frees what finished steps of a long job left on the driver: their broadcasts and shuffles are dropped once the JVM has collected what referred to them."""
+    spark._jvm.System.gc()
