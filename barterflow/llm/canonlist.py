@@ -20,7 +20,7 @@ from barterflow.functions.ids import BLANK_CLASS
 from barterflow.llm.lookalike import FORMS, HAN, HIRAGANA, KATAKANA, LATIN, SAME_LOOK, SIGN_OF
 from barterflow.llm.readings import KANA, YOON
 from barterflow.operators.pigeonhole import query, within_edits
-from barterflow.shared import materialised
+from barterflow.shared import let_go, materialised
 
 #: Edits allowed by length of the reference key: (up to this length, edits). A key of one character allows none.
 EDITS: list[tuple[int | None, int]] = [(1, 0), (3, 1), (5, 2), (8, 3), (None, 4)]
@@ -114,30 +114,33 @@ def looks_sql(text: str) -> str:
 
 
 def given_names(cards: DataFrame) -> DataFrame:
-    """name, spelling: the names and the aliases of names in the list; an alias whose canonical name isn't in it is left out, as are null and blank ones."""
-    return query(
-        cards.sparkSession,
+    """name, spelling, plain: the names and the aliases of names in the list, written once; an alias whose canonical name isn't in it is left out, as are null and blank ones."""
+    spark = cards.sparkSession
+    given = query(
+        spark,
         """
-        WITH names AS (SELECT DISTINCT name FROM {cards} LATERAL VIEW explode(cards) AS name WHERE trim(name) <> '')
-        SELECT name, name AS spelling FROM names
-        UNION SELECT a.canonical, a.alias FROM {cards} LATERAL VIEW explode(aliases) AS a WHERE trim(a.alias) <> '' AND a.canonical IN (SELECT name FROM names)
+        WITH every AS (
+          SELECT name, name AS spelling FROM {cards} LATERAL VIEW explode(cards) AS name
+          UNION SELECT a.canonical, a.alias FROM {cards} LATERAL VIEW explode(aliases) AS a
+        ), known AS (SELECT name, spelling, bool_or(name = spelling) OVER (PARTITION BY name) AS listed FROM every WHERE trim(name) <> '' AND trim(spelling) <> '')
+        SELECT name, spelling FROM known WHERE listed
         """,
         cards=cards,
     )
+    return materialised(with_plain(spark, given, "spelling"), "list")
 
 
-def reference(cards: DataFrame, readings: DataFrame | None = None) -> DataFrame:
-    """name, key, len, split: every key of every entry of the list; ``split``: the name holds a sign that also stands between values.
+def reference(names: DataFrame, readings: DataFrame | None = None) -> DataFrame:
+    """name, key, len, split: every key of every entry of the list (``given_names``); written once; ``split``: the name holds a sign that also stands between values.
 
     ``readings`` (word, reading): how the words of the names are read, a part of the list that comes with it; without it
     names have no reading but their kana. The longest word is replaced first. It is held as one array, so it is as bounded as the list's words.
     """
-    spark = cards.sparkSession
+    spark = names.sparkSession
     sounds = [tuple(w.split("=")) for w in [*YOON, *KANA]]
     words = readings if readings is not None else spark.createDataFrame([], "word string, reading string")
     words = query(spark, "SELECT transform(sort_array(collect_set(struct(-length(word) AS n, word, reading))), x -> struct(x.word, x.reading)) AS words FROM {words} WHERE word <> '' AND reading IS NOT NULL", words=words)
-    plain = with_plain(spark, given_names(cards), "spelling")
-    return query(
+    keys = query(
         spark,
         f"""
         WITH worded AS (SELECT name, plain, (SELECT words FROM {{words}}) AS words FROM {{plain}}),
@@ -146,9 +149,10 @@ def reference(cards: DataFrame, readings: DataFrame | None = None) -> DataFrame:
         keys AS (SELECT DISTINCT name, key FROM (SELECT name, explode(array(key, kana, regexp_extract(roman, '^[a-z]*$', 0))) AS key FROM said))
         SELECT name, key, length(key) AS len, name RLIKE '[・/,、]' AS split FROM keys WHERE key <> ''
         """,
-        plain=plain,
+        plain=names,
         words=words,
     )
+    return materialised(keys, "reference")
 
 
 def hits(keys: DataFrame, refs: DataFrame) -> DataFrame:
@@ -204,7 +208,7 @@ def plain_bodies(entries: DataFrame) -> DataFrame:
 
 def mapped_values(entries: DataFrame, cards: DataFrame, readings: DataFrame | None = None) -> DataFrame:
     """id, key, name of each listed value; name null where the value means no entry of the list. ``entries``: of ``plain_bodies``."""
-    mapped, _ = mapped_by_body(entries, materialised(reference(cards, readings), "reference"), None)
+    mapped, _ = mapped_by_body(entries, reference(given_names(cards), readings), None)
     return mapped.select("id", "key", "name").distinct()
 
 
@@ -239,6 +243,7 @@ def mapped_by_body(entries: DataFrame, refs: DataFrame, spans: DataFrame | None)
     keys = materialised(keys, "keys")
     near = hits(keys, refs)
     found = closest(keys, near, refs)
+    let_go(spark)
     pairs = query(
         spark,
         """
@@ -303,14 +308,14 @@ def named_freely(spans: DataFrame, near: DataFrame) -> DataFrame:
     )
 
 
-def named_as_written(entries: DataFrame, cards: DataFrame) -> DataFrame:
+def named_as_written(entries: DataFrame, names: DataFrame) -> DataFrame:
     """plain, name of the entries whose name or alias stands in a text without lists, in whatever width and look-alike letters, between no katakana.
 
     A spelling meets a text where its first characters do (three, or all it has), by equality; the rest is then compared.
     One inside a longer one doesn't count.
     """
     spark = entries.sparkSession
-    forms = query(spark, f"SELECT DISTINCT name, {looks_sql('plain')} AS form FROM {{plain}} WHERE plain <> ''", plain=with_plain(spark, given_names(cards), "spelling"))
+    forms = query(spark, f"SELECT DISTINCT name, {looks_sql('plain')} AS form FROM {{names}} WHERE plain <> ''", names=names)
     return query(
         spark,
         f"""
@@ -320,8 +325,10 @@ def named_as_written(entries: DataFrame, cards: DataFrame) -> DataFrame:
         found AS (
           SELECT g.plain, a.name, g.at, g.at + a.len AS end FROM grams g JOIN anchors a ON g.size = a.size AND g.gram = a.gram
           WHERE substring(g.looks, g.at, a.len) = a.form AND NOT (g.at > 1 AND substring(g.plain, g.at - 1, 1) RLIKE '[ァ-ヺー]') AND NOT substring(g.plain, g.at + a.len, 1) RLIKE '[ァ-ヺー]'
+        ), around AS (
+          SELECT plain, name, end, max(end) OVER (PARTITION BY plain ORDER BY at RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, max(end) OVER (PARTITION BY plain, at) AS longest FROM found
         )
-        SELECT DISTINCT n.plain, n.name FROM found n LEFT ANTI JOIN found o ON n.plain = o.plain AND o.at <= n.at AND n.end <= o.end AND o.end - o.at > n.end - n.at
+        SELECT DISTINCT plain, name FROM around WHERE coalesce(before < end, true) AND longest = end
         """,
         entries=entries,
         forms=forms,
@@ -335,20 +342,13 @@ def named_otherwise(entries: DataFrame, cards: DataFrame, readings: DataFrame |
     """
     spark = entries.sparkSession
     given = plain_bodies(entries)
-    refs = materialised(reference(cards, readings), "reference")
+    names = given_names(cards)
+    refs = reference(names, readings)
     spans = free_spans(given, refs)
     mapped, near = mapped_by_body(given, refs, spans.select("key").distinct())
-    free = materialised(query(spark, "SELECT plain, name FROM {a} UNION SELECT plain, name FROM {b}", a=named_freely(spans, near), b=named_as_written(given, cards)), "free")
-    written = query(
-        spark,
-        """
-        SELECT name, collect_set(form) AS forms FROM (
-          SELECT name, name AS form FROM {cards} LATERAL VIEW explode(cards) AS name
-          UNION ALL SELECT a.canonical, a.alias FROM {cards} LATERAL VIEW explode(aliases) AS a
-        ) WHERE form <> '' GROUP BY name
-        """,
-        cards=cards,
-    )
+    free = materialised(query(spark, "SELECT plain, name FROM {a} UNION SELECT plain, name FROM {b}", a=named_freely(spans, near), b=named_as_written(given, names)), "free")
+    let_go(spark)
+    written = query(spark, "SELECT name, collect_set(spelling) AS forms FROM {names} GROUP BY name", names=names)
     # a body's values and the body meet by one shuffle on the same key
     return query(
         spark,
