@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barterflow.operators.extract import image_text, one_sided_text
+from barterflow.operators.extract import any_sided, sheet_segments
 from barterflow.operators.multiset import counts, merged, union_by_max
 from barterflow.shared import materialised
 
@@ -23,22 +23,18 @@ def generic_images(passes: DataFrame, names: list[str], aliases: list[tuple[str,
     A reading counts with both sides if it has them and names something, else with its one side. Over the
     readings of an image each name keeps its largest count. ``usable``: a boolean column; an image counts only if any reading has it.
     """
-    both = passes.select("*", F.struct(*image_text("plain", names, aliases)).alias("two"), F.struct(*one_sided_text("plain", names, aliases)).alias("one"))
-    named = lambda c: (F.size(f"{c}.demand") > 0) | (F.size(f"{c}.supply") > 0)
-    taken = both.withColumn("got", F.when(F.col("two.explicit") & named("two"), F.col("two")).when(F.col("one.explicit"), F.col("one")))
+    # unfolding an array of one keeps what follows above the parsing: it runs once a reading
+    read = passes.withColumn("__parts", F.explode(F.array(sheet_segments("plain"))))
+    taken = read.withColumn("got", F.explode(F.array(F.struct(*any_sided(F.col("__parts"), names, aliases)[:2]))))
     if usable:
         ok = passes.groupBy("url").agg(F.bool_or(usable).alias("__ok")).where("__ok").select("url")
         taken = taken.join(ok, "url", "left_semi")
-    got = taken.where("got IS NOT NULL")
-    groups = None
-    for side in ("demand", "supply"):
-        each = counts(got.select(F.struct("url", "pass").alias("reading"), F.col(f"got.{side}").alias("names")), "reading", side, "names")
-        groups = each if groups is None else groups.unionByName(each)
-    most = union_by_max(groups.select("reading.url", "side", "name", "n"), ["url", "side"])
+    side = lambda c: F.transform(F.col(f"got.{c}"), lambda x: F.struct(F.lit(c).alias("side"), x.alias("name")))
+    each = taken.select("url", "pass", F.explode(F.concat(side("demand"), side("supply"))).alias("m")).groupBy("url", "pass", "m.side", "m.name").agg(F.count("*").alias("n"))
+    most = union_by_max(each, ["url", "side"])
     lists = most.groupBy("url").agg(*[F.flatten(F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == s, F.struct("name", "n")))), lambda x: F.array_repeat(x["name"], x["n"].cast("int")))).alias(s) for s in ("demand", "supply")])
-    every = passes.select("url").distinct()
-    found = got.select("url", F.lit(True).alias("explicit")).distinct()
-    return every.join(found, "url", "left").join(lists, "url", "left").select("url", F.coalesce("explicit", F.lit(False)).alias("explicit"), *[F.coalesce(s, _none()).alias(s) for s in ("demand", "supply")])
+    out = passes.select("url").distinct().join(lists.withColumn("explicit", F.lit(True)), "url", "left")
+    return out.select("url", F.coalesce("explicit", F.lit(False)).alias("explicit"), *[F.coalesce(s, _none()).alias(s) for s in ("demand", "supply")])
 
 
 def images_of_posts(urls: DataFrame, recognised: DataFrame, most: int = 4) -> DataFrame:

@@ -118,3 +118,14 @@ def one_sided_text(plain: Column | str, names: Sequence[str], aliases: Sequence[
     parts = segments(ocr_text(plain), IMAGE_MARK)
     demand, supply = _parsed(parts, _kinds(parts) == 1, names, aliases)
     return [demand, supply, ((F.size(demand) > 0) | (F.size(supply) > 0)).alias("explicit")]
+
+
+def sheet_segments(plain: Column | str) -> Column:
+    """The segments of a text read from an image (already NFKC)."""
+    return segments(ocr_text(plain), IMAGE_MARK)
+
+
+def any_sided(parts: Column, names: Sequence[str], aliases: Sequence[tuple[str, str]] = ()) -> list[Column]:
+    """demand, supply, explicit of segments with headings of both kinds or of one; explicit where a name was found."""
+    demand, supply = _parsed(parts, _kinds(parts) > 0, names, aliases)
+    return [demand, supply, ((F.size(demand) > 0) | (F.size(supply) > 0)).alias("explicit")]
