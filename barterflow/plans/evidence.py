@@ -22,7 +22,8 @@ from barterflow.shared import fresh_path
 from barterflow.sources import files, images, pages
 from barterflow.streaming.ingest import ingest_once, ingest_pages, page_stream
 
-#: Phrases a body is left out for, and the same ones negated: parameters of has_unnegated, neutral here.
+#: Searches of a run at most. Phrases a body is left out for, and the same ones negated: parameters of has_unnegated, neutral here.
+MOST_SEARCHES = 10_000
 PHRASES, NEGATED = ("複数可", "お返事おそめ"), ("複数可ではない",)
 
 
@@ -262,7 +263,9 @@ def catalogue_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages each search may read, in turn, after what was read in the day before."""
-    searches = [r.query for r in table(spark, sf_dir, "search_queries").orderBy("pos").limit(1000).collect()]
+    searches = [r.query for r in table(spark, sf_dir, "search_queries").orderBy("pos").limit(MOST_SEARCHES + 1).collect()]
+    if len(searches) > MOST_SEARCHES:
+        raise ValueError(f"more than {MOST_SEARCHES} searches: their quotas depend on each other and are the driver's")
     used = store.requests_within(table(spark, sf_dir, "timelines"), "fetched_at", NOW).count()
     quotas = pages.allocated(pages.PAGES_A_RUN, max(0, pages.PAGES_A_DAY - used), len(searches), 5)
     return spark.createDataFrame(list(zip(searches, quotas)), "query string, pages bigint")
@@ -308,11 +311,12 @@ def streamed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delivered_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts as a stream of several batches: each identifier comes out once, whatever batches its copies are in."""
+    """Posts as a stream of about three batches: each identifier comes out once, whatever batches its copies are in."""
     landed, state, out, checkpoint = (fresh_path(spark, x) for x in ("landed", "seen", "out", "offsets"))
     posts = table(spark, sf_dir, "posts").select("hit_id", "id", "collected_at")
-    posts.repartition(4).write.json(landed)
-    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", 2).json(landed)
+    posts.write.option("maxRecordsPerFile", 6000).json(landed)
+    files_a_batch = -(-len(spark.read.schema(posts.schema).json(landed).inputFiles()) // 3)
+    stream = spark.readStream.schema(posts.schema).option("maxFilesPerTrigger", max(1, files_a_batch)).json(landed)
     ingest_once(stream, state, out, checkpoint, "id", ["collected_at"], "hit_id").awaitTermination()
     once = spark.read.parquet(out).select(number_key("id").alias("key"))
     return once.groupBy("key").agg(F.count("*").alias("copies"))
