@@ -94,6 +94,9 @@ def _filled(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame
         sizes = materialised(bpe.token_counts(docs, "doc_id", "text", bpe.vocabulary_path(name)), "sizes")
         own = kinds.where(F.col("tokenizer") == name)
         out.append((packing.packed(sizes, own), sizes, own))
+    if not out:  # no kind of container names a tokenizer: nothing to fill
+        sizes, own = docs.select("doc_id", F.lit(0).cast("bigint").alias("tokens")).where("false"), kinds.where("false")
+        out.append((packing.packed(sizes, own), sizes, own))
     return out
 
 
