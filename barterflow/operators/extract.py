@@ -37,14 +37,19 @@ def name_layers(names: Sequence[str]) -> list[list[str]]:
 
 def copies(tail: Column) -> Column:
     """The quantity a name's tail begins with, from 1 to 20; 1 where there is none."""
-    pattern = rf"\A[{SPACE}]*(?:[×xX＊*][{SPACE}]*([0-9]+)|([0-9]+)[{SPACE}]*枚)"
-    digits = F.regexp_replace(F.concat(F.regexp_extract(tail, pattern, 1), F.regexp_extract(tail, pattern, 2)), "^0+", "")
-    n = F.when(F.length(digits) > 2, F.lit(MOST_COPIES)).otherwise(F.coalesce(digits.try_cast("int"), F.lit(1)))
+    # three digits after the zeros tell whether it is above the most that count
+    pattern = rf"\A[{SPACE}]*(?:[×xX＊*][{SPACE}]*(?=[0-9])|(?=[0-9]+[{SPACE}]*枚))0*([0-9]{{0,3}})"
+    n = F.coalesce(F.regexp_extract(tail, pattern, 1).try_cast("int"), F.lit(1))
     return F.greatest(F.lit(1), F.least(F.lit(MOST_COPIES), n))
 
 
-def _with_copies(name: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda m: F.struct(name(m).alias("name"), copies(F.substring(m, F.length(name(m)) + 1, F.length(m))).alias("n"))
+def _read_off(name: str) -> Callable[[Column], Column]:
+    """A match as its name and itself, so that the name is looked for once."""
+    return lambda m: F.struct(F.regexp_extract(m, rf"\A{name}", 0).alias("name"), m.alias("match"))
+
+
+def _counted(x: Column) -> Column:
+    return F.struct(x["name"].alias("name"), copies(F.substring(x["match"], F.length(x["name"]) + 1, F.length(x["match"]))).alias("n"))
 
 
 def mentions(segment: Column | str, names: Sequence[str], aliases: Sequence[tuple[str, str]] = ()) -> Column:
@@ -59,8 +64,7 @@ def mentions(segment: Column | str, names: Sequence[str], aliases: Sequence[tupl
         begins = "".join(sorted({re.sub(r"([\\\]\[^&-])", r"\\\1", n[0]) for n in layer}))
         names_of = rf"(?:{quoted(layer)})(?![{NAME_CHARS}])"
         matches = F.regexp_extract_all(text, F.lit(rf"(?=[{begins}])(?=({names_of}[\s\S]{{0,{TAIL}}}))"), 1)
-        name = lambda m, p=names_of: F.regexp_extract(m, rf"\A{p}", 0)
-        found.append(F.transform(matches, _with_copies(name)))
+        found.append(F.transform(F.transform(matches, _read_off(names_of)), _counted))
     if not found:
         return F.array().cast("array<struct<name:string,n:int>>")
     return F.concat(*found)
